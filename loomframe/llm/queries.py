@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import neighbours
+from loomframe.llm import neighbours, packing, splitting, tokenize
 from loomframe.session import table
 
 
@@ -25,5 +25,24 @@ def p1_search(spark: SparkSession, d: str) -> DataFrame:
     return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("near_id"), "rank", F.round("s", 4).alias("similarity"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search}
-SQL: dict[str, str] = {}
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(table(spark, d, "rag_documents"), "id", "content")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).where(F.col("chunk_index") == 0).select("id")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokenize.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n", 1024)
+
+
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
+SQL: dict[str, str] = {
+    "p4_found": "SELECT id FROM rag_documents WHERE length(content) > 1200",
+}
