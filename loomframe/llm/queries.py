@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import neighbours, packing, splitting, tokenize
+from loomframe.llm import lookalikes, neighbours, packing, splitting, tokenize
 from loomframe.session import table
 
 
@@ -42,7 +42,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n", 1024)
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_forms(spark: SparkSession, d: str) -> DataFrame:
+    f = lookalikes.consistent_forms(table(spark, d, "documents"), "doc_id", "text")
+    return f.select(F.col("key").cast("long").alias("doc_id"), "form")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = lookalikes.same_reading(lookalikes.consistent_forms(table(spark, d, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {
     "p4_found": "SELECT id FROM rag_documents WHERE length(content) > 1200",
 }
