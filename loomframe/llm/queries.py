@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import lookalikes, neighbours, packing, splitting, tokenize
+from loomframe.llm import language, lookalikes, neighbours, packing, splitting, tokenize
 from loomframe.session import table
 
 
@@ -33,6 +33,33 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where(F.col("chunk_index") == 0).select("id")
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """(field, row_id, code, langs, segments) of the three labelled fields; equal texts are scored once."""
+    films, asked = table(spark, d, "films"), table(spark, d, "rag_queries")
+    model = language.train(table(spark, d, "documents"), films, asked)
+    f = films.select(F.col("id").cast("string").alias("row_id"), "original_title", "original_language", "overview_fr").distinct()
+    title = f.select(F.lit("films.original_language").alias("field"), "row_id", F.col("original_title").alias("text"), language.label_column(F.col("original_language")).alias("code"))
+    view = f.select(F.lit("films.overview_fr").alias("field"), "row_id", F.col("overview_fr").alias("text"), F.lit("fr").alias("code"))
+    query = asked.select(F.lit("rag_queries.query_text").alias("field"), F.col("id").alias("row_id"), F.col("query_text").alias("text"), language.label_column(F.col("lang")).alias("code"))
+    rows = title.unionByName(query).where(F.length(F.trim("text")) > 0)
+    short = language.label_texts(rows.select("text").distinct(), model)
+    got = rows.join(short, "text").select("field", "row_id", "code", "langs", "segments")
+    long = view.where(F.length(F.trim("text")) > 0).select("row_id", "text")
+    named = language.label_texts(long.select("text").distinct(), model)
+    return got.unionByName(long.join(named, "text").select(F.lit("films.overview_fr").alias("field"), "row_id", F.lit("fr").alias("code"), "langs", "segments"))
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = _labelled(spark, d).select("field", "row_id", F.posexplode("segments").alias("segment", "s"))
+    return s.select("field", "row_id", "segment", "s.start", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    r = _labelled(spark, d)
+    wrong = (F.size("langs") > 1) | F.col("code").isNull() | (F.col("code") != F.col("langs")[0])
+    return r.where((F.size("langs") > 0) & wrong).select("field", "row_id", F.explode("langs").alias("lang")).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -52,7 +79,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {
     "p4_found": "SELECT id FROM rag_documents WHERE length(content) > 1200",
 }
