@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import language, lookalikes, neighbours, packing, splitting, tokenize
+from loomframe.llm import entities, language, lookalikes, neighbours, packing, splitting, survivors, tokenize
 from loomframe.session import table
 
 
@@ -25,6 +25,15 @@ def p1_search(spark: SparkSession, d: str) -> DataFrame:
     return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("near_id"), "rank", F.round("s", 4).alias("similarity"))
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = entities.match_films(table(spark, d, "films"), table(spark, d, "imdb_films"), table(spark, d, "rt_enrichment"))
+    return m.withColumn("confidence", F.round("confidence", 4))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("key_a", "key_b")
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "rag_documents"), "id", "content")
 
@@ -33,6 +42,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where(F.col("chunk_index") == 0).select("id")
 
 
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(table(spark, d, "aggregated_films"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.pairs_of_groups(survivors.duplicate_groups(table(spark, d, "aggregated_films")))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """(field, row_id, code, langs, segments) of the three labelled fields; equal texts are scored once."""
     films, asked = table(spark, d, "films"), table(spark, d, "rag_queries")
@@ -79,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {
     "p4_found": "SELECT id FROM rag_documents WHERE length(content) > 1200",
 }
