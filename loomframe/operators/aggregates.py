@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.numbers import mean
+
 
 def count_by(df: DataFrame, *by: str) -> DataFrame:
     """AGG-01, 02, 11."""
@@ -13,12 +15,12 @@ def count_by(df: DataFrame, *by: str) -> DataFrame:
 
 def collection_stats(df: DataFrame, rating: str, by: str) -> DataFrame:
     """AGG-03: one row per group and a total row (group null), in one pass."""
-    return df.rollup(by).agg(F.grouping(by).alias("is_total"), F.count("*").alias("n"), F.round(F.avg(rating), 2).alias("avg_rating")).select(F.col(by).alias("grp"), F.col("is_total").cast("int").alias("is_total"), "n", "avg_rating")
+    return df.rollup(by).agg(F.grouping(by).alias("is_total"), F.count("*").alias("n"), mean(rating, 2).alias("avg_rating")).select(F.col(by).alias("grp"), F.col("is_total").cast("int").alias("is_total"), "n", "avg_rating")
 
 
 def score_stats(df: DataFrame, critics: str, audience: str, certified: Column) -> DataFrame:
     """AGG-04."""
-    return df.agg(F.count("*").alias("total"), F.round(F.avg(critics), 1).alias("avg_critics"), F.round(F.avg(audience), 1).alias("avg_audience"), F.count(critics).alias("with_critics"), F.count_if(certified).alias("certified"))
+    return df.agg(F.count("*").alias("total"), mean(critics, 1).alias("avg_critics"), mean(audience, 1).alias("avg_audience"), F.count(critics).alias("with_critics"), F.count_if(certified).alias("certified"))
 
 
 def histogram(df: DataFrame, value: Column, bins: list[tuple[float, float]]) -> DataFrame:
@@ -46,7 +48,7 @@ def status_totals(df: DataFrame, status: str, values: list[str], amount: str) ->
 
 def text_stats(df: DataFrame, by: str, text: str) -> DataFrame:
     """AGG-10."""
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(F.length(text)), 0).alias("avg_length"))
+    return df.groupBy(by).agg(F.count("*").alias("n"), mean(F.length(text), 0).alias("avg_length"))
 
 
 def ordered_names(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -69,7 +71,7 @@ def coverage(df: DataFrame, condition: Column) -> DataFrame:
 def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """AGG-20: exact percentiles; for unbounded groups see latency_sketch."""
     return df.where(F.col(value).isNotNull()).groupBy(by).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 2).alias("mean"), F.round(F.median(value), 2).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.round(F.percentile(value, F.lit(0.95)), 2).alias("p95")
+        F.count("*").alias("n"), mean(value, 2).alias("mean"), F.round(F.median(value), 2).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.round(F.percentile(value, F.lit(0.95)), 2).alias("p95")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.numbers import NUDGE, mean
 from loomframe.operators.ordered import percent_rank_and_tile, row_numbers, with_neighbours
 
 
@@ -57,7 +58,7 @@ def stats_by_decade(v: DataFrame, min_votes: int = 50, least: int = 10) -> DataF
     """SQL-05: one row per decade with enough films."""
     s = v.where(F.col("release_date").isNotNull() & (F.col("vote_count") >= min_votes)).groupBy(decade(F.col("release_date")).alias("decade"))
     return s.agg(
-        F.count("*").alias("movie_count"), F.round(F.avg("vote_average"), 2).alias("avg_rating"), F.round(F.avg("vote_count"), 0).alias("avg_votes"), F.round(F.avg("popularity"), 2).alias("avg_popularity"),
+        F.count("*").alias("movie_count"), mean("vote_average", 2).alias("avg_rating"), mean("vote_count", 0).alias("avg_votes"), mean("popularity", 2).alias("avg_popularity"),
         F.min("vote_average").alias("min_rating"), F.max("vote_average").alias("max_rating"),
     ).where(F.col("movie_count") >= least)
 
@@ -66,28 +67,28 @@ def stats_by_language(v: DataFrame, min_votes: int = 100, least: int = 5, high:
     """SQL-06: conditional count and its share per language."""
     n = F.count_if(F.col("vote_average") >= high)
     return v.where(F.col("vote_count") >= min_votes).groupBy("original_language").agg(
-        F.count("*").alias("movie_count"), F.round(F.avg("vote_average"), 2).alias("avg_rating"), n.alias("high_rated_count"), F.round(n * 100.0 / F.count("*"), 1).cast("double").alias("high_rated_pct")
+        F.count("*").alias("movie_count"), mean("vote_average", 2).alias("avg_rating"), n.alias("high_rated_count"), F.round(n * 100.0 / F.count("*"), 1).cast("double").alias("high_rated_pct")
     ).where(F.col("movie_count") >= least)
 
 
 def top_with_context(v: DataFrame, min_votes: int = 100, n: int = 10) -> DataFrame:
     """SQL-07: the best n of each decade beside the decade's mean, in one pass of two windows."""
     s = v.where(F.col("release_date").isNotNull() & (F.col("vote_count") >= min_votes)).select("id", "title", decade(F.col("release_date")).alias("decade"), F.col("vote_average").alias("rating"), F.col("vote_count").alias("votes"))
-    mean = s.groupBy("decade").agg(F.avg("rating").alias("_mean"))
+    level = s.groupBy("decade").agg(F.avg("rating").alias("_mean"))
     best = s.withColumn("decade_rank", F.row_number().over(Window.partitionBy("decade").orderBy(F.desc_nulls_last("rating"), "id"))).where(F.col("decade_rank") <= n)
-    return best.join(mean, "decade").select("id", "title", "decade", "rating", "votes", "decade_rank", F.round("_mean", 2).alias("decade_avg"), F.round(F.col("rating") - F.col("_mean"), 2).alias("vs_decade_avg"))
+    return best.join(level, "decade").select("id", "title", "decade", "rating", "votes", "decade_rank", F.round(F.col("_mean") + NUDGE, 2).alias("decade_avg"), F.round(F.col("rating") - F.col("_mean") + NUDGE, 2).alias("vs_decade_avg"))
 
 
 def genre_groups(v: DataFrame, min_votes: int = 50, least: int = 5, n: int = 20) -> DataFrame:
     """SQL-08: the n most frequent genre texts with their number of genres."""
-    g = v.where((F.coalesce(F.col("genre_names"), F.lit("")) != "") & (F.col("vote_count") >= min_votes)).groupBy("genre_names").agg(F.count("*").alias("movie_count"), F.round(F.avg("vote_average"), 2).alias("avg_rating"))
+    g = v.where((F.coalesce(F.col("genre_names"), F.lit("")) != "") & (F.col("vote_count") >= min_votes)).groupBy("genre_names").agg(F.count("*").alias("movie_count"), mean("vote_average", 2).alias("avg_rating"))
     return g.where(F.col("movie_count") >= least).withColumn("genre_count", F.size(F.split("genre_names", ", "))).orderBy(F.desc("movie_count"), "genre_names").limit(n)
 
 
 def monthly_pattern(v: DataFrame, min_votes: int = 50) -> DataFrame:
     """SQL-09: groups by month number and English name."""
     s = v.where(F.col("release_date").isNotNull() & (F.col("vote_count") >= min_votes))
-    return s.groupBy(F.month("release_date").alias("release_month"), F.date_format("release_date", "MMMM").alias("month_name")).agg(F.count("*").alias("movie_count"), F.round(F.avg("vote_average"), 2).alias("avg_rating"), F.round(F.avg("popularity"), 2).alias("avg_popularity"))
+    return s.groupBy(F.month("release_date").alias("release_month"), F.date_format("release_date", "MMMM").alias("month_name")).agg(F.count("*").alias("movie_count"), mean("vote_average", 2).alias("avg_rating"), mean("popularity", 2).alias("avg_popularity"))
 
 
 def rating_category(rating: Column) -> Column:

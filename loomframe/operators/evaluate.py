@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.numbers import mean
 from loomframe.operators.aggregates import jaccard, overlaps
 
 
@@ -16,7 +17,7 @@ def hit_at_k(found: Column, expected: Column) -> Column:
 def accuracy(df: DataFrame, label: str, predicted: str, confidence: str) -> DataFrame:
     """EVA-02, 03: per label and over all (label null)."""
     ok = (F.col(label) == F.col(predicted)).cast("int")
-    return df.rollup(label).agg(F.count("*").alias("n"), F.round(F.avg(ok), 4).alias("recall"), F.round(F.avg(confidence), 4).alias("confidence"))
+    return df.rollup(label).agg(F.count("*").alias("n"), mean(ok, 4).alias("recall"), mean(confidence, 4).alias("confidence"))
 
 
 def empty_answers(df: DataFrame, intent: str, sources: str, error: str) -> DataFrame:
@@ -65,7 +66,7 @@ def best_params(sweep: DataFrame) -> DataFrame:
 
 def ab_report(df: DataFrame, model: str, top1: str, latency: str) -> DataFrame:
     """EVA-11."""
-    return df.groupBy(model).agg(F.round(F.avg(top1), 4).alias("mean_top1"), F.round(F.median(top1), 4).alias("median_top1"), F.round(F.percentile(latency, F.lit(0.5)), 2).alias("p50"), F.round(F.percentile(latency, F.lit(0.95)), 2).alias("p95"))
+    return df.groupBy(model).agg(mean(top1, 4).alias("mean_top1"), F.round(F.median(top1), 4).alias("median_top1"), F.round(F.percentile(latency, F.lit(0.5)), 2).alias("p50"), F.round(F.percentile(latency, F.lit(0.95)), 2).alias("p95"))
 
 
 def mean_overlap(df: DataFrame, a: str, b: str) -> DataFrame:

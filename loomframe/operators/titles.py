@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.numbers import mean
+
 
 def titles_and_ratings(imdb: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two relations behind the templates: titles by id, and the rating with most votes of each id."""
@@ -44,33 +46,33 @@ def by_decade(t: DataFrame, r: DataFrame, start: int, min_votes: int = 500, genr
 def statistics(t: DataFrame, r: DataFrame, min_votes: int = 1000, genre: str = "Horror") -> DataFrame:
     """REL-04: one row, also over nothing."""
     return _joined(t, r, genre, min_votes).agg(
-        F.count("*").alias("total_movies"), F.round(F.avg("rating"), 2).alias("avg_rating"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"), F.round(F.avg("votes"), 0).alias("avg_votes"),
-        F.min("premiered").alias("earliest_year"), F.max("premiered").alias("latest_year"), F.round(F.avg("runtime_minutes"), 0).alias("avg_runtime"),
+        F.count("*").alias("total_movies"), mean("rating", 2).alias("avg_rating"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"), mean("votes", 0).alias("avg_votes"),
+        F.min("premiered").alias("earliest_year"), F.max("premiered").alias("latest_year"), mean("runtime_minutes", 0).alias("avg_runtime"),
     )
 
 
 def count_by_decade(t: DataFrame, r: DataFrame, min_votes: int = 500, genre: str = "Horror") -> DataFrame:
     """REL-05."""
     y = F.col("premiered").cast("long")
-    return _joined(t, r, genre, min_votes).where(F.col("premiered").isNotNull()).groupBy((y - y % 10).alias("decade")).agg(F.count("*").alias("movie_count"), F.round(F.avg("rating"), 2).alias("avg_rating"))
+    return _joined(t, r, genre, min_votes).where(F.col("premiered").isNotNull()).groupBy((y - y % 10).alias("decade")).agg(F.count("*").alias("movie_count"), mean("rating", 2).alias("avg_rating"))
 
 
 def count_by_genres(t: DataFrame, r: DataFrame, min_votes: int = 1000, least: int = 10, genre: str = "Horror") -> DataFrame:
     """REL-06."""
-    return _joined(t, r, genre, min_votes).groupBy("genres").agg(F.count("*").alias("movie_count"), F.round(F.avg("rating"), 2).alias("avg_rating")).where(F.col("movie_count") >= least)
+    return _joined(t, r, genre, min_votes).groupBy("genres").agg(F.count("*").alias("movie_count"), mean("rating", 2).alias("avg_rating")).where(F.col("movie_count") >= least)
 
 
 def above_average(t: DataFrame, r: DataFrame, min_votes: int = 1000, genre: str = "Horror") -> DataFrame:
     """REL-07: one scalar (a single row) is broadcast."""
     j = _joined(t, r, genre, min_votes)
-    mean = j.agg(F.avg("rating").alias("_mean"))
-    return j.join(F.broadcast(mean), F.col("rating") > F.col("_mean")).select(F.col("title_id").alias("imdb_id"), F.col("primary_title").alias("title"), F.col("premiered").alias("year"), "rating", "votes")
+    level = j.agg(F.avg("rating").alias("_mean"))
+    return j.join(F.broadcast(level), F.col("rating") > F.col("_mean")).select(F.col("title_id").alias("imdb_id"), F.col("primary_title").alias("title"), F.col("premiered").alias("year"), "rating", "votes")
 
 
 def top_people(t: DataFrame, r: DataFrame, crew: DataFrame, people: DataFrame, role: str = "director", least: int = 3, min_votes: int = 1000, n: int = 50, genre: str = "Horror") -> DataFrame:
     """REL-08: four-way join; someone credited twice on one title counts twice."""
     j = _joined(t, r, genre, min_votes).join(crew.where(F.col("category") == role), "title_id").join(people, "name_id")
-    g = j.groupBy("name_id", "name").agg(F.count("*").alias("film_count"), F.round(F.avg("rating"), 2).alias("avg_rating")).where(F.col("film_count") >= least)
+    g = j.groupBy("name_id", "name").agg(F.count("*").alias("film_count"), mean("rating", 2).alias("avg_rating")).where(F.col("film_count") >= least)
     return g.orderBy(F.desc("film_count"), F.desc_nulls_last("avg_rating"), "name").limit(n).select("name", "film_count", "avg_rating")
 
 

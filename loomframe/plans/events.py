@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomframe.functions.numbers import mean
 from loomframe.operators import aggregates as g
 from loomframe.session import table
 from loomframe.streaming import metrics as m
@@ -29,7 +30,7 @@ def _time(c):  # noqa: ANN001, ANN202
 
 
 _T = "strftime({}, '%Y-%m-%d %H:%M:%S')"
-_SESS = "WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM s GROUP BY user_id, k"
+_SESS = "WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM s GROUP BY user_id, k"
 
 
 @query("str01_sessions_30m", _SESS.format(gap="30 minute"))
@@ -100,9 +101,9 @@ def _(s, d):
     return ss.resume_after(table(s, d, "events"), "event_id", 500).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-@query("src10_json_props", "SELECT event_type, round(avg(CAST(json_extract_string(props, '$.k') AS INT)), 4) AS mean_k, count(*) AS n FROM events GROUP BY 1")
+@query("src10_json_props", "SELECT event_type, round(avg(CAST(json_extract_string(props, '$.k') AS INT)) + 1e-9, 4) AS mean_k, count(*) AS n FROM events GROUP BY 1")
 def _(s, d):
-    return table(s, d, "events").select("event_type", F.from_json("props", "k int")["k"].alias("k")).groupBy("event_type").agg(F.round(F.avg("k"), 4).alias("mean_k"), F.count("*").alias("n"))
+    return table(s, d, "events").select("event_type", F.from_json("props", "k int")["k"].alias("k")).groupBy("event_type").agg(mean("k", 4).alias("mean_k"), F.count("*").alias("n"))
 
 
 @query("eva05_index_percentile", """WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)

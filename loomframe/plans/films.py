@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.numbers import mean
 from loomframe.functions import cleaning as c
 from loomframe.functions import documents as doc
 from loomframe.operators import aggregates as g
@@ -222,12 +223,12 @@ def _(s, d):
     return g.count_by(films(s, d), "status")
 
 
-@query("agg03_collection_stats", V + "SELECT original_language AS grp, CAST(grouping(original_language) AS INT) AS is_total, count(*) AS n, round(avg(vote_average), 2) AS avg_rating FROM f GROUP BY ROLLUP (original_language)")
+@query("agg03_collection_stats", V + "SELECT original_language AS grp, CAST(grouping(original_language) AS INT) AS is_total, count(*) AS n, round(avg(vote_average) + 1e-9, 2) AS avg_rating FROM f GROUP BY ROLLUP (original_language)")
 def _(s, d):
     return g.collection_stats(films(s, d), "vote_average", "original_language")
 
 
-@query("agg04_score_stats", "SELECT count(*) AS total, round(avg(tomatometer_score), 1) AS avg_critics, round(avg(audience_score), 1) AS avg_audience, count(tomatometer_score) AS with_critics, count(*) FILTER (WHERE tomatometer_state = 'certified_fresh') AS certified FROM rt_scores")
+@query("agg04_score_stats", "SELECT count(*) AS total, round(avg(tomatometer_score) + 1e-9, 1) AS avg_critics, round(avg(audience_score) + 1e-9, 1) AS avg_audience, count(tomatometer_score) AS with_critics, count(*) FILTER (WHERE tomatometer_state = 'certified_fresh') AS certified FROM rt_scores")
 def _(s, d):
     return g.score_stats(table(s, d, "rt_scores"), "tomatometer_score", "audience_score", F.col("tomatometer_state") == "certified_fresh")
 
@@ -252,7 +253,7 @@ def _(s, d):
     return g.status_totals(films(s, d), "status", ["Released", "Rumored"], "revenue")
 
 
-@query("agg10_text_stats", "SELECT source_type, count(*) AS n, round(avg(length(content)), 0) AS avg_length FROM rag_documents GROUP BY 1")
+@query("agg10_text_stats", "SELECT source_type, count(*) AS n, round(avg(length(content)) + 1e-9, 0) AS avg_length FROM rag_documents GROUP BY 1")
 def _(s, d):
     return g.text_stats(table(s, d, "rag_documents"), "source_type", "content")
 
@@ -272,9 +273,9 @@ def _(s, d):
     return _scored(s, d).select("rec_id", F.round("score", 1).alias("score"))
 
 
-@query("agg13_score_stats", f"SELECT count(*) AS n, round(avg({SCORE.format(w=_W, v=_S)}), 1) AS mean, count(tomatometer_score) AS with_rt, count(imdb_rating) AS with_imdb FROM aggregated_films")
+@query("agg13_score_stats", f"SELECT count(*) AS n, round(avg({SCORE.format(w=_W, v=_S)}) + 1e-9, 1) AS mean, count(tomatometer_score) AS with_rt, count(imdb_rating) AS with_imdb FROM aggregated_films")
 def _(s, d):
-    return _scored(s, d).agg(F.count("*").alias("n"), F.round(F.avg("score"), 1).alias("mean"), F.count("tomatometer_score").alias("with_rt"), F.count("imdb_rating").alias("with_imdb"))
+    return _scored(s, d).agg(F.count("*").alias("n"), mean("score", 1).alias("mean"), F.count("tomatometer_score").alias("with_rt"), F.count("imdb_rating").alias("with_imdb"))
 
 
 @query("agg14_ordered_names", "SELECT film_id, string_agg(name, '|' ORDER BY name) AS names FROM film_languages l JOIN spoken_languages s ON s.id = l.language_id WHERE film_id IS NOT NULL GROUP BY 1")
@@ -301,7 +302,7 @@ def _(s, d):
     return g.coverage(films(s, d), F.col("overview_fr").isNotNull())
 
 
-@query("agg20_latency_stats", "SELECT lang, count(*) AS n, round(avg(response_time_ms), 2) AS mean, round(median(response_time_ms), 2) AS median, min(response_time_ms) AS least, max(response_time_ms) AS greatest, round(quantile_cont(response_time_ms, 0.95), 2) AS p95 FROM rag_queries WHERE response_time_ms IS NOT NULL GROUP BY 1")
+@query("agg20_latency_stats", "SELECT lang, count(*) AS n, round(avg(response_time_ms) + 1e-9, 2) AS mean, round(median(response_time_ms), 2) AS median, min(response_time_ms) AS least, max(response_time_ms) AS greatest, round(quantile_cont(response_time_ms, 0.95), 2) AS p95 FROM rag_queries WHERE response_time_ms IS NOT NULL GROUP BY 1")
 def _(s, d):
     return g.latency_stats(table(s, d, "rag_queries"), "lang", "response_time_ms")
 

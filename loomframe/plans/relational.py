@@ -56,23 +56,23 @@ SQL = {
     "sql02_ranked_by_year": V + "SELECT id, title, year(release_date) AS release_year, vote_average AS rating, vote_count AS votes, CAST(row_number() OVER (PARTITION BY year(release_date) ORDER BY vote_average DESC NULLS LAST, vote_count DESC, id) AS INT) AS year_rank FROM f WHERE vote_count >= 100 AND release_date IS NOT NULL",
     "sql03_rating_percentiles": V + "SELECT id, title, vote_average AS rating, vote_count AS votes, round(percent_rank() OVER (ORDER BY vote_average), 3) AS percentile, CAST(ntile(4) OVER (ORDER BY vote_average, id) AS INT) AS quartile FROM f WHERE vote_count >= 50 AND vote_average IS NOT NULL",
     "sql04_popularity_trend": V + "SELECT id, title, year(release_date) AS release_year, popularity, lag(popularity) OVER w AS prev_popularity, lead(popularity) OVER w AS next_popularity, round(popularity - lag(popularity) OVER w, 6) AS popularity_change FROM f WHERE vote_count >= 100 AND release_date IS NOT NULL WINDOW w AS (ORDER BY release_date, id)",
-    "sql05_stats_by_decade": V + f"SELECT {DEC} AS decade, count(*) AS movie_count, round(avg(vote_average), 2) AS avg_rating, round(avg(vote_count), 0) AS avg_votes, round(avg(popularity), 2) AS avg_popularity, min(vote_average) AS min_rating, max(vote_average) AS max_rating FROM f WHERE release_date IS NOT NULL AND vote_count >= 1 GROUP BY 1 HAVING count(*) >= 3",
-    "sql06_stats_by_language": V + "SELECT original_language, count(*) AS movie_count, round(avg(vote_average), 2) AS avg_rating, count(*) FILTER (WHERE vote_average >= 7.0) AS high_rated_count, round(count(*) FILTER (WHERE vote_average >= 7.0) * 100.0 / count(*), 1) AS high_rated_pct FROM f WHERE vote_count >= 10 GROUP BY 1 HAVING count(*) >= 5",
-    "sql07_top_with_context": V + f", s AS (SELECT *, {DEC} AS decade FROM f WHERE release_date IS NOT NULL AND vote_count >= 10), m AS (SELECT decade, avg(vote_average) AS mean FROM s GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY decade ORDER BY vote_average DESC NULLS LAST, id) AS decade_rank FROM s) SELECT id, title, decade, vote_average AS rating, vote_count AS votes, CAST(decade_rank AS INT) AS decade_rank, round(mean, 2) AS decade_avg, round(vote_average - mean, 2) AS vs_decade_avg FROM k JOIN m USING (decade) WHERE decade_rank <= 10",
-    "sql08_genre_groups": V + ", g AS (SELECT array_to_string(genres, ', ') AS genre_names, vote_average FROM f WHERE vote_count >= 5) SELECT genre_names, count(*) AS movie_count, round(avg(vote_average), 2) AS avg_rating, CAST(len(string_split(genre_names, ', ')) AS INT) AS genre_count FROM g WHERE coalesce(genre_names, '') <> '' GROUP BY genre_names HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 20",
-    "sql09_monthly_pattern": V + "SELECT month(release_date) AS release_month, monthname(release_date) AS month_name, count(*) AS movie_count, round(avg(vote_average), 2) AS avg_rating, round(avg(popularity), 2) AS avg_popularity FROM f WHERE release_date IS NOT NULL AND vote_count >= 50 GROUP BY 1, 2",
+    "sql05_stats_by_decade": V + f"SELECT {DEC} AS decade, count(*) AS movie_count, round(avg(vote_average) + 1e-9, 2) AS avg_rating, round(avg(vote_count) + 1e-9, 0) AS avg_votes, round(avg(popularity) + 1e-9, 2) AS avg_popularity, min(vote_average) AS min_rating, max(vote_average) AS max_rating FROM f WHERE release_date IS NOT NULL AND vote_count >= 1 GROUP BY 1 HAVING count(*) >= 3",
+    "sql06_stats_by_language": V + "SELECT original_language, count(*) AS movie_count, round(avg(vote_average) + 1e-9, 2) AS avg_rating, count(*) FILTER (WHERE vote_average >= 7.0) AS high_rated_count, round(count(*) FILTER (WHERE vote_average >= 7.0) * 100.0 / count(*), 1) AS high_rated_pct FROM f WHERE vote_count >= 10 GROUP BY 1 HAVING count(*) >= 5",
+    "sql07_top_with_context": V + f", s AS (SELECT *, {DEC} AS decade FROM f WHERE release_date IS NOT NULL AND vote_count >= 10), m AS (SELECT decade, avg(vote_average) AS mean FROM s GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY decade ORDER BY vote_average DESC NULLS LAST, id) AS decade_rank FROM s) SELECT id, title, decade, vote_average AS rating, vote_count AS votes, CAST(decade_rank AS INT) AS decade_rank, round(mean + 1e-9, 2) AS decade_avg, round(vote_average - mean + 1e-9, 2) AS vs_decade_avg FROM k JOIN m USING (decade) WHERE decade_rank <= 10",
+    "sql08_genre_groups": V + ", g AS (SELECT array_to_string(genres, ', ') AS genre_names, vote_average FROM f WHERE vote_count >= 5) SELECT genre_names, count(*) AS movie_count, round(avg(vote_average) + 1e-9, 2) AS avg_rating, CAST(len(string_split(genre_names, ', ')) AS INT) AS genre_count FROM g WHERE coalesce(genre_names, '') <> '' GROUP BY genre_names HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 20",
+    "sql09_monthly_pattern": V + "SELECT month(release_date) AS release_month, monthname(release_date) AS month_name, count(*) AS movie_count, round(avg(vote_average) + 1e-9, 2) AS avg_rating, round(avg(popularity) + 1e-9, 2) AS avg_popularity FROM f WHERE release_date IS NOT NULL AND vote_count >= 50 GROUP BY 1, 2",
     "sql10_export_enriched": V + f"SELECT id AS kaggle_id, title, CAST(release_date AS VARCHAR) AS release_date, year(release_date) AS release_year, {DEC} AS decade, coalesce(vote_average, 0.0) AS rating, vote_count AS votes, coalesce(popularity, 0.0) AS popularity, original_language, coalesce(runtime, 0) AS runtime, overview, array_to_string(genres, ', ') AS genre_names, coalesce(budget, 0) AS budget, coalesce(revenue, 0) AS revenue, CASE WHEN vote_average >= 7.5 THEN 'excellent' WHEN vote_average >= 6.0 THEN 'good' WHEN vote_average >= 4.0 THEN 'average' ELSE 'poor' END AS rating_category, row_number() OVER (ORDER BY coalesce(vote_average, 0.0) DESC, vote_count DESC, id) AS global_rank FROM f WHERE vote_count >= 50",
     "sql11_count_filtered": V + "SELECT count(*) AS n FROM f WHERE vote_count >= 50",
     "rel01_with_ratings": T + SHOW + "votes >= 50 AND rating >= 0.0",
     "rel02_top_rated": T + SHOW + "votes >= 50 ORDER BY rating DESC NULLS LAST, votes DESC, imdb_id LIMIT 25",
     "rel03_by_decade": T + SHOW + "votes >= 5 AND premiered BETWEEN 1980 AND 1989",
-    "rel04_statistics": T + "SELECT count(*) AS total_movies, round(avg(rating), 2) AS avg_rating, min(rating) AS min_rating, max(rating) AS max_rating, round(avg(votes), 0) AS avg_votes, min(premiered) AS earliest_year, max(premiered) AS latest_year, round(avg(runtime_minutes), 0) AS avg_runtime FROM j WHERE votes >= 50",
-    "rel05_count_by_decade": T + "SELECT CAST(premiered - premiered % 10 AS BIGINT) AS decade, count(*) AS movie_count, round(avg(rating), 2) AS avg_rating FROM j WHERE votes >= 5 AND premiered IS NOT NULL GROUP BY 1",
-    "rel06_count_by_genres": T + "SELECT genres, count(*) AS movie_count, round(avg(rating), 2) AS avg_rating FROM j WHERE votes >= 5 GROUP BY 1 HAVING count(*) >= 3",
+    "rel04_statistics": T + "SELECT count(*) AS total_movies, round(avg(rating) + 1e-9, 2) AS avg_rating, min(rating) AS min_rating, max(rating) AS max_rating, round(avg(votes) + 1e-9, 0) AS avg_votes, min(premiered) AS earliest_year, max(premiered) AS latest_year, round(avg(runtime_minutes) + 1e-9, 0) AS avg_runtime FROM j WHERE votes >= 50",
+    "rel05_count_by_decade": T + "SELECT CAST(premiered - premiered % 10 AS BIGINT) AS decade, count(*) AS movie_count, round(avg(rating) + 1e-9, 2) AS avg_rating FROM j WHERE votes >= 5 AND premiered IS NOT NULL GROUP BY 1",
+    "rel06_count_by_genres": T + "SELECT genres, count(*) AS movie_count, round(avg(rating) + 1e-9, 2) AS avg_rating FROM j WHERE votes >= 5 GROUP BY 1 HAVING count(*) >= 3",
     "rel07_above_average": T + "SELECT title_id AS imdb_id, primary_title AS title, premiered AS year, rating, votes FROM j WHERE votes >= 50 AND rating > (SELECT avg(rating) FROM j WHERE votes >= 50)",
     "rel08_top_people": """WITH g AS (SELECT * FROM aggregated_films WHERE regexp_full_match(imdb_id, 'tt[0-9]{8}')),
 t AS (SELECT imdb_id, max(imdb_rating) AS rating, max(vote_count) AS votes FROM g GROUP BY 1), c AS (SELECT DISTINCT imdb_id, lower(director) AS name FROM g WHERE director IS NOT NULL)
-SELECT name, count(*) AS film_count, round(avg(rating), 2) AS avg_rating FROM t JOIN c USING (imdb_id) WHERE votes >= 0 GROUP BY name HAVING count(*) >= 2 ORDER BY 2 DESC, 3 DESC NULLS LAST, 1 LIMIT 50""",
+SELECT name, count(*) AS film_count, round(avg(rating) + 1e-9, 2) AS avg_rating FROM t JOIN c USING (imdb_id) WHERE votes >= 0 GROUP BY name HAVING count(*) >= 2 ORDER BY 2 DESC, 3 DESC NULLS LAST, 1 LIMIT 50""",
     "rel09_for_enrichment": T.replace("j AS (SELECT * FROM t JOIN r USING (title_id) WHERE genres ILIKE '%Horror%')", "j AS (SELECT * FROM t JOIN r USING (title_id))") + SHOW + "title_id IN (SELECT imdb_id FROM aggregated_films WHERE imdb_id IS NOT NULL) UNION ALL " + SHOW + "title_id IN (SELECT imdb_id FROM films WHERE imdb_id IS NOT NULL)",
     "rel10_distinct_ids": T + "SELECT DISTINCT title_id AS imdb_id FROM j WHERE votes >= 10",
     "rel11_bundle": T + "SELECT 'total' AS item, CAST(count(*) AS VARCHAR) AS value FROM j WHERE votes >= 50 UNION ALL SELECT 'top', title_id FROM (SELECT title_id FROM j WHERE votes >= 50 ORDER BY rating DESC NULLS LAST, votes DESC, title_id LIMIT 10) UNION ALL SELECT 'eighties', CAST(count(*) AS VARCHAR) FROM j WHERE votes >= 50 AND premiered BETWEEN 1980 AND 1989",

@@ -158,7 +158,7 @@ def _(s, d):
     return t.select(F.col("query").cast("long").alias("vec_id"), ev.hit_at_k(F.col("found"), F.array("l_query")).alias("hit"))
 
 
-@query("eva02_accuracy", f"WITH {_P}, n AS (SELECT * FROM t WHERE rank = 1) SELECT label, count(*) AS n, round(avg(CAST(label = other AS INT)), 4) AS recall, round(avg(s), 4) AS confidence FROM n GROUP BY ROLLUP (label)")
+@query("eva02_accuracy", f"WITH {_P}, n AS (SELECT * FROM t WHERE rank = 1) SELECT label, count(*) AS n, round(avg(CAST(label = other AS INT)) + 1e-9, 4) AS recall, round(avg(s) + 1e-9, 4) AS confidence FROM n GROUP BY ROLLUP (label)")
 def _(s, d):
     return ev.accuracy(_probes(s, d, 1), "l_query", "l_key", "similarity").withColumnRenamed("l_query", "label")
 
@@ -218,7 +218,7 @@ def _(s, d):
     return ev.mean_overlap(t, "a", "b")
 
 
-@query("eva11_ab_report", f"WITH {_P} SELECT label AS model, round(avg(s), 4) AS mean_top1, round(median(s), 4) AS median_top1, round(quantile_cont(query::DOUBLE, 0.5), 2) AS p50, round(quantile_cont(query::DOUBLE, 0.95), 2) AS p95 FROM t WHERE rank = 1 GROUP BY 1")
+@query("eva11_ab_report", f"WITH {_P} SELECT label AS model, round(avg(s) + 1e-9, 4) AS mean_top1, round(median(s), 4) AS median_top1, round(quantile_cont(query::DOUBLE, 0.5), 2) AS p50, round(quantile_cont(query::DOUBLE, 0.95), 2) AS p95 FROM t WHERE rank = 1 GROUP BY 1")
 def _(s, d):
     return ev.ab_report(_probes(s, d, 1).withColumn("ms", F.col("query").cast("double")), "l_query", "similarity", "ms").withColumnRenamed("l_query", "model")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> DataFrame:
-    """STR-01: sessions by inactivity; parts of a session are merged before and after the shuffle. Works on streams."""
+    """STR-01: sessions parted by more than `gap` of inactivity; parts of a session are merged before and after the shuffle. Works on streams."""
     s = events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
     return s.select(key, F.col("w.start").alias("start"), "last", "n")
 
