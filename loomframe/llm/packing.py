@@ -20,7 +20,7 @@ import bisect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.session import global_rank
+from loomframe.session import cut, global_rank
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -68,7 +68,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
 def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFrame:
     """(id_col, piece, size, container) for every item; piece counts the parts of a divided item from 0."""
     spark = sizes.sparkSession
-    s = sizes.select(F.col(id_col), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("whole"))
+    # written once: the range sort below would measure every text a second time for its sample
+    s = cut(sizes.select(F.col(id_col), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("whole")))
     parts = F.greatest(F.ceil(F.col("whole") / capacity), F.lit(1))
     items = s.select(id_col, "whole", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("piece"))
     items = items.select(id_col, "piece", F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("long").alias("size"))
