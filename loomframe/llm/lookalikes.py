@@ -319,7 +319,8 @@ def same_reading(forms: DataFrame) -> DataFrame:
 
     Exact copies are one row until the end: distinct originals of a reading are paired first.
     """
-    r = forms.where(F.col("reading").isNotNull()).select(F.col("key").cast("long").alias("id"), "reading", "raw")
+    # written once, without the texts: it is read for the groups and on both sides of the pairs
+    r = cut(forms.where(F.col("reading").isNotNull()).select(F.col("key").cast("long").alias("id"), "reading", "raw"))
     several = r.groupBy("reading").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("reading")
     m = r.join(several, "reading")
     x = m.select("reading", F.col("id").alias("a"), F.col("raw").alias("ra"))
