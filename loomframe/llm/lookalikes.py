@@ -151,6 +151,9 @@ class Trie:
                                 step(deeper, cost + 1 + (SHAPE.get(ord(k2), k2) != want))
                 step(node, cost + 1)
             states = list(best.values())
+        for node, cost in states:  # grows while it is read: what a spelling has beyond the word's end
+            if cost < budget:
+                states.extend((child, cost + 1) for k, child in node.items() if k != "")
         return sorted((cost, -node[""][0], node[""][1]) for node, cost in states if "" in node)
 
 
@@ -167,12 +170,20 @@ def table_spelling(word: str, own: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", shape(w)).translate(back))
 
 
+TAKEN = set(SHAPE.values())
+
+
 def _main_script(words: list[str]) -> str:
-    n: Counter = Counter()
-    for w in words:
-        s = scripts(w)
-        if len(s) == 1:
-            n[next(iter(s))] += len(w)
+    """The alphabet of most letters that no other one imitates; of most letters where there are none."""
+    sure: Counter = Counter()
+    every: Counter = Counter()
+    for c, n in Counter("".join(words)).items():
+        p = FOLD.get(ord(c), c)
+        if p and p.isalpha():
+            every[script(p)] += n
+            if ord(p) not in SHAPE and p not in TAKEN:
+                sure[script(p)] += n
+    n = sure or every
     return min(n, key=lambda k: (-n[k], k)) if n else "latin"
 
 

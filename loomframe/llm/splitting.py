@@ -83,10 +83,10 @@ def cut_region(text: str, begin: int, end: int, limit: int, overlap: int, first:
     while at < end:
         if end - start <= limit:
             stop = end
-        else:
-            stop = best_cut(text, max(at, start + limit // 2), start + limit)
-            if end - stop < limit // 12 and end - start > limit:  # leave no scrap behind
-                stop = best_cut(text, max(at, start + limit // 2 - 1), max(start + limit // 2 + 1, min(start + limit, end - limit // 6)))
+        else:  # near the end the rest is left long enough to be a piece
+            short = end - start < limit + limit // 2
+            hi = min(start + limit, end - limit // 3) if short else start + limit
+            stop = best_cut(text, max(at, start + limit // (3 if short else 2)), hi)
         spans.append((start, stop))
         at = stop
         start = overlap_start(text, at, overlap, start + 1)
@@ -94,8 +94,16 @@ def cut_region(text: str, begin: int, end: int, limit: int, overlap: int, first:
 
 
 def border(text: str, nominal: int, window: int) -> int:
-    """The border of two ranges: the best boundary in the window before the nominal one."""
-    return best_cut(text, max(0, nominal - window), nominal)
+    """The border of two ranges: the best boundary in the window before the nominal one.
+
+    What follows the nominal border is not looked at, since the range before does not hold it.
+    """
+    i = best_cut(text[:nominal], max(0, nominal - window), nominal)
+    if i == nominal and not text[i - 1].isspace():  # the next character may belong to the last one
+        i -= 1
+        while i > 0 and _joined(text, i):
+            i -= 1
+    return i
 
 
 PIECES = T.StructType([
