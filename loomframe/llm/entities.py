@@ -20,7 +20,8 @@ from loomframe.llm import matching as m
 from loomframe.session import cut
 
 WINDOW = 10
-LEAST = 0.75
+LEAST = 0.65
+ROMANS = ''.join(f' {r} ' for r in m.ROMAN)
 YEARS = 1  # difference in years that still is the same film
 
 
@@ -71,17 +72,21 @@ def candidates(records: DataFrame) -> DataFrame:
     pairs = m.neighbours(entry, WINDOW).where((F.col("x.src") != F.col("y.src")) & (F.col("x.part") == F.col("y.part")))
     dy, dr = F.abs(F.col("x.year") - F.col("y.year")), F.abs(F.col("x.runtime") - F.col("y.runtime"))
     pairs = pairs.withColumn("d", m.edits(F.col("x.name"), F.col("y.name"))).where(F.col("d").isNotNull() & (dy.isNull() | (dy <= YEARS)))
-    rest = lambda s: F.transform(F.col(f"{s}.titles"), lambda t: F.filter(t, lambda w: (w != F.col(f"{s}.name")) & (F.length(w) > 1)))
-    # titles without a common word may be translations, which says nothing
-    best = F.array_max(F.flatten(F.transform(rest("x"), lambda p: F.transform(rest("y"), lambda q: m.overlap(p, q)))))
+    rest = lambda s: F.transform(F.col(f"{s}.titles"), lambda t: F.filter(t, lambda w: (w != F.col(f"{s}.name")) & ~F.contains(F.lit(ROMANS), F.concat(F.lit(" "), w, F.lit(" ")))))
+    best = F.array_max(F.flatten(F.transform(rest("x"), lambda p: F.transform(rest("y"), lambda q: m.agreement(p, q)))))
     near = 1 - F.col("d") / F.greatest(F.length("x.name"), F.length("y.name"))
-    year = F.when(dy == 0, 1.0).when(dy == 1, 0.85)
-    run = F.when(dr <= 2, 1.0).when(dr <= 5, 0.7).when(dr.isNotNull(), 0.2)
-    pairs = pairs.withColumn("rest", F.nullif(best, F.lit(0.0))).withColumn("dy", dy).withColumn("dr", dr).withColumn("conf", m.weighted([(0.5, near), (0.15, F.col("rest")), (0.2, year), (0.15, run)]))
-    sure = F.col("d") == 0
-    typo = (F.col("dy").isNotNull() & (F.coalesce(F.col("dr"), F.lit(0)) <= 2)) | ((F.coalesce(F.col("rest"), F.lit(0.0)) >= 0.5) & F.coalesce(F.col("dr") <= 2, F.lit(True)))
-    known = F.col("dy").isNotNull() | (F.coalesce(F.col("dr"), F.lit(0)) <= 5)
-    kept = pairs.where((F.col("conf") >= LEAST) & known & (sure | typo))
+    years = F.when(dy == 0, 1.0).when(dy == 1, 0.85)
+    runs = F.when(dr <= 2, 1.0).when(dr <= 5, 0.7).when(dr.isNotNull(), 0.2)
+    pairs = pairs.withColumn("rest", best).withColumn("dy", dy).withColumn("dr", dr).withColumn("conf", m.weighted([(0.5, near), (0.15, F.col("rest")), (0.2, years), (0.15, runs)]))
+    # a wrong letter is taken for a typing error unless the other words or, where known, year and runtime speak
+    # against it; where the words may be translations, or three letters are wrong, more must agree
+    year, run = F.col("dy").isNotNull(), F.coalesce(F.col("dr") <= 2, F.lit(False))
+    bare = (F.col("x.src") == "rt") | (F.col("y.src") == "rt")  # has no runtime, and mostly no year
+    known = year | run | F.col("dr").isNull()
+    agree, open_ = F.coalesce(F.col("rest") > 0, F.lit(False)), F.col("rest").isNull()
+    typo = (F.col("d") <= 2) & ((agree & known) | (open_ & (((F.col("d") == 1) & (year | run | bare)) | (year & run))))
+    far = (F.col("d") == 3) & year & run & agree
+    kept = pairs.where((F.col("conf") >= LEAST) & ((F.col("d") == 0) | typo | far))
     a, b = F.least("x.key", "y.key"), F.greatest("x.key", "y.key")
     return kept.groupBy(a.alias("x"), b.alias("y")).agg(F.max("conf").alias("conf"))
 

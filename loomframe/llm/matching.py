@@ -22,10 +22,11 @@ ROMAN = {"ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix":
 
 
 def plain_title(c: Column) -> Column:
-    """Lower case, without accents, bracketed remarks and the suffix of film adaptations."""
+    """Lower case, without accents, bracketed remarks, the suffix of film adaptations and an article put last."""
     t = F.translate(F.lower(c), ACCENTED, PLAIN)
     t = F.regexp_replace(t, r"\[[^\]]*\]|\([^)]*\)", " ")
-    return F.regexp_replace(t, r"\s-\s*the movie\s*$", " ")
+    t = F.regexp_replace(t, r"\s-\s*the movie\s*$", " ")
+    return F.regexp_replace(t, r"\s*,\s*(?:the|an?|les?|las?|los|el|il|gli|der|die|das|l')\s*$", " ")
 
 
 def title_words(c: Column) -> Column:
@@ -86,15 +87,25 @@ def neighbours(entries: DataFrame, window: int) -> DataFrame:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Edit distance of two names where a typing error can explain it, else null."""
-    d = F.levenshtein(a, b, 2)
+    """Edit distance of two names where typing errors can explain it, else null."""
+    d = F.levenshtein(a, b, 3)
     short = F.least(F.length(a), F.length(b))
-    return F.when((d >= 0) & (d <= F.when(short >= 6, 2).when(short >= 4, 1).otherwise(0)), d)
+    return F.when((d >= 0) & (d <= F.when(short >= 8, 3).when(short >= 6, 2).when(short >= 4, 1).otherwise(0)), d)
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays; null when both are empty."""
-    return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+def agreement(p: Column, q: Column) -> Column:
+    """Whether the other words of two titles agree (1), disagree (0) or may be translations (null).
+
+    Words of four letters or more agree up to two wrong letters; half of the fewer ones must. Titles that share a short word
+    are taken to be of one language, so that different long words disagree.
+    """
+    cut_ = lambda t, long: F.filter(t, lambda w: (F.length(w) >= 4) if long else (F.length(w) < 4))
+    a, b = cut_(p, True), cut_(q, True)
+    near = F.size(F.filter(a, lambda x: F.exists(b, lambda y: (x == y) | ((F.length(x) >= 5) & (F.levenshtein(x, y) <= 2)))))
+    fewer = F.least(F.size(a), F.size(b))
+    one = F.arrays_overlap(cut_(p, False), cut_(q, False))
+    bare = (F.size(p) == 0) & (F.size(q) == 0)
+    return F.when(bare | ((fewer > 0) & (near >= fewer / 2)), 1.0).when(one & (F.greatest(F.size(a), F.size(b)) > 0), 0.0)
 
 
 def weighted(parts: list[tuple[float, Column]]) -> Column:
