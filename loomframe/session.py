@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,20 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomframe_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(home):  # else it was shipped itself
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="loomframe-"), "loomframe"), "zip", os.path.dirname(home), "loomframe"))
+    sc._loomframe_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory (a file or a directory of parquet)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, one
     machine) a temporary one is made. The copy survives the loss of executors.
     """
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomframe-ckpt-"))
