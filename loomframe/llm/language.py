@@ -36,6 +36,7 @@ TERMS_MAX = 2000  # genre and keyword terms that count as borrowed
 ORDER = 4  # longest n-gram: a context of three bytes and the byte itself
 SEGMENT_BITS = 24.0  # least that a segment must save against its surroundings
 SEGMENT_WORDS = 3
+UNKNOWN_WEIGHT = 0.3  # of words that no language's training texts know: mostly names, which tell little
 
 # Two-letter codes of languages.
 CODES = set(
@@ -68,6 +69,16 @@ def label_column(c):  # noqa: ANN001, ANN201
     return F.try_element_at(table, head)
 
 
+SCRIPTS = {"ja": re.compile("[぀-ヿ々一-鿿]"), "ko": re.compile("[가-힣]"), "ru": re.compile("[Ѐ-ӿ]")}
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
+
+
+def in_script(text: str, lang: str) -> bool:
+    """Whether at least half of a text's letters are of the language's script; others cannot teach it."""
+    own = len(SCRIPTS.get(lang, LATIN).findall(text))
+    return own > 0 and 2 * own >= sum(c.isalpha() for c in text)
+
+
 def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
@@ -198,6 +209,7 @@ class Model:
             least = max(3, spread[i] // 400)
             lower = {w for t in texts.get(lang, []) for w in (x.replace("’", "'") for x in WORD.findall(t)) if w == w.lower()}
             self.words.append({w for w, c in counts[i].items() if c >= least and (w in lower or c >= max(8, spread[i] // 100))})
+        self.known = set().union(*self.words)
         self.terms = {tuple(w for _, _, w in words_of(t)) for t in terms}
         self.term_heads: dict[str, list[tuple[str, ...]]] = {}
         for t in sorted(self.terms, key=lambda t: (-len(t), t)):
@@ -294,6 +306,24 @@ def _segments(model: Model, words: list[str], bits: np.ndarray, lo: int, hi: int
     return [(lo, hi, best, float(odds[best] / odds.sum()))]
 
 
+def _settled(segs: list[tuple[int, int, int, float]], bits: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """Segments of fewer than SEGMENT_WORDS words take the language of the neighbour that codes them shorter.
+
+    A run of one script, as of Japanese, may be a single word; where no neighbour comes near it, it stays.
+    """
+    if len(segs) < 2:
+        return segs
+    out = []
+    for i, (a, z, lang, conf) in enumerate(segs):
+        if (~mask[a:z]).sum() < SEGMENT_WORDS:
+            own = bits[a:z].sum(axis=0)
+            other = min((segs[j][2] for j in (i - 1, i + 1) if 0 <= j < len(segs)), key=lambda k: (own[k], k))
+            if own[other] - own[lang] < 2 * SEGMENT_BITS:
+                lang = other
+        out.append((a, z, lang, conf))
+    return out
+
+
 def label(model: Model, texts: list[str | None]) -> list[tuple[list[tuple[int, int, str, float]], list[str]]]:
     """Segments (start, end, language, confidence) and the languages shown, for each text."""
     out: list = [([], []) for _ in texts]
@@ -316,11 +346,12 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[list[tuple[int, i
             if len(inside) <= QUOTED_WORDS and len(inside) < len(ws):
                 mask[inside] = True
         kept = [w for w, x in zip(ws, mask, strict=True) if not x] or ws
-        use = b if mask.all() else np.where(mask[:, None], 0.0, b)
+        weight = np.fromiter((1.0 if w in model.known else UNKNOWN_WEIGHT for w in ws), float, len(ws))
+        use = b * (weight if mask.all() else np.where(mask, 0.0, weight))[:, None]
         shown = list(ws) if mask.all() else [w if not x else "-" for w, x in zip(ws, mask, strict=True)]
         segs = _segments(model, shown, use, 0, len(ws))
         merged: list[list] = []
-        for a, z, lang, conf in segs:
+        for a, z, lang, conf in _settled(segs, use, mask):
             if merged and merged[-1][2] == lang:
                 merged[-1][1], merged[-1][3] = z, max(merged[-1][3], conf)
             else:
@@ -384,7 +415,7 @@ def train(documents: DataFrame, films: DataFrame, queries: DataFrame) -> Model:
     terms = films.select(F.explode(F.concat(F.coalesce("genres", F.array()), F.coalesce("keywords", F.array()))).alias("text")).groupBy("text").count()
     terms = terms.orderBy(F.desc("count"), "text").limit(TERMS_MAX).select(F.lit("").alias("lang"), "text", F.lit("k").alias("kind"))
     rows = docs.unionByName(titles).unionByName(asks).unionByName(terms).collect()  # at most 8 x (500 + 1500 + 1500) + 2000 rows
-    rows.sort(key=lambda r: (r["kind"], r["lang"], r["text"]))
+    rows = sorted((r for r in rows if r["kind"] == "k" or in_script(r["text"], r["lang"])), key=lambda r: (r["kind"], r["lang"], r["text"]))
     borrowed = [r["text"] for r in rows if r["kind"] == "k" and r["text"]]
     base: dict[str, list[str]] = {}
     for r in rows:

@@ -81,3 +81,14 @@ def test_repeated_and_empty_tables(spark, model):
 def test_untrained_model_gives_nothing():
     m = lg.Model({})
     assert [g[1] for g in lg.label(m, ["the well", None])] == [[], []]
+
+
+def test_script_of_training_texts():
+    assert lg.in_script("Привет The", "ru") and not lg.in_script("The Tide of Rinutumi", "ru")
+    assert lg.in_script("映画 The", "ja") is False and lg.in_script("メヴェの映画", "ja")
+    assert not lg.in_script("Зеркало", "en") and not lg.in_script("123", "en")
+
+
+def test_short_rests_join_their_neighbour(model):
+    text = "donne-moi cinq films de 1950 sur une maison hantée, give me five films from 2012 about zombies on an island"
+    assert [s[2] for s in lg.label(model, [text])[0][0]] == ["fr", "en"]
