@@ -189,7 +189,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def nn_descent(nodes: DataFrame, dim: int, k: int = 10, tables: int = 6, rounds: int = 3, floor: float = -1.0, bucket_rows: int = 256, settle: float = 0.002, seed: int = 7) -> DataFrame:
+def nn_descent(nodes: DataFrame, dim: int, k: int = 10, tables: int = 8, rounds: int = 3, floor: float = -1.0, bucket_rows: int = 384, settle: float = 0.002, seed: int = 7) -> DataFrame:
     """Directed edges (a, b, s): the k most similar nodes found for each node, with s >= floor.
 
     nodes: (key long, code binary). `tables` hash tables give the first graph; the number of
