@@ -137,42 +137,27 @@ def _grouped(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _bucket_pairs(dim: int, floor: float, k: int, cap: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 8192):
-            g, key = t.column("bucket").to_numpy(), t.column("key").to_numpy()
-            x = _unit(_bytes_matrix(t.column("code").combine_chunks(), dim))
-            cuts = np.r_[0, np.nonzero(np.diff(g))[0] + 1, len(g)]
-            a, b, s = [], [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                step = max(1, cap // 2)
-                for at in range(lo, max(lo + 1, hi - step), step):  # over cap rows: overlapping windows along `side`
-                    end = min(hi, at + cap)
-                    if end - at > 1:
-                        i, j, v = _close(x[at:end], floor, k)
-                        a.append(key[at + i])
-                        b.append(key[at + j])
-                        s.append(v)
-            if a:
-                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(s).astype(np.float32))], ["a", "b", "s"])
-
-    return run
+def _group_pairs(group: str, key: str, dim: int, floor: float, k: int, cap: int, overlap: bool):  # noqa: ANN202
+    """Close pairs within each group of rows (sorted by group), by matrix products of at most cap rows.
 
+    A larger group is taken in windows of cap rows along its order; with `overlap` each half window
+    meets the next, so that no row is left out and near rows of the order are met.
+    """
 
-def _local_join(dim: int, floor: float, k: int, cap: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 8192):
-            g, key = t.column("centre").to_numpy(), t.column("member").to_numpy()
+            g, ids = t.column(group).to_numpy(), t.column(key).to_numpy()
             x = _unit(_bytes_matrix(t.column("code").combine_chunks(), dim))
             cuts = np.r_[0, np.nonzero(np.diff(g))[0] + 1, len(g)]
             a, b, s = [], [], []
+            step = max(1, cap // 2 if overlap else cap)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                for at in range(lo, hi, cap):
+                for at in range(lo, max(lo + 1, hi - step) if overlap else hi, step):
                     end = min(hi, at + cap)
                     if end - at > 1:
                         i, j, v = _close(x[at:end], floor, k)
-                        a.append(key[at + i])
-                        b.append(key[at + j])
+                        a.append(ids[at + i])
+                        b.append(ids[at + j])
                         s.append(v)
             if a:
                 yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(s).astype(np.float32))], ["a", "b", "s"])
@@ -203,13 +188,13 @@ def nn_descent(nodes: DataFrame, dim: int, k: int = 10, tables: int = 8, rounds:
     width = shuffle_width(spark)
     codes = nodes.select("key", "code")
     hashed = codes.mapInArrow(_hash(dim, tables, max(2, n // bucket_rows), seed), "bucket long, side float, key long, code binary")
-    near = hashed.repartitionByRange(width, "bucket", "side").sortWithinPartitions("bucket", "side").mapInArrow(_bucket_pairs(dim, floor, k, 4096), "a long, b long, s float")
+    near = hashed.repartitionByRange(width, "bucket", "side").sortWithinPartitions("bucket", "side").mapInArrow(_group_pairs("bucket", "key", dim, floor, k, 4096, True), "a long, b long, s float")
     edges = cut(_best(near, k))
     for _ in range(rounds):
         old = edges.count()
         links = edges.select(F.explode(F.array(F.struct(F.col("a").alias("centre"), F.col("b").alias("member")), F.struct(F.col("b").alias("centre"), F.col("a").alias("member")))).alias("l")).select("l.*").distinct()
         sent = links.join(codes.withColumnRenamed("key", "member"), "member").select("centre", "member", "code")
-        met = sent.repartition(width, "centre").sortWithinPartitions("centre", "member").mapInArrow(_local_join(dim, floor, k, 512), "a long, b long, s float")
+        met = sent.repartition(width, "centre").sortWithinPartitions("centre", "member").mapInArrow(_group_pairs("centre", "member", dim, floor, k, 512, False), "a long, b long, s float")
         new = cut(_best(met.unionByName(edges.where(F.col("a") < F.col("b")).unionByName(edges.where(F.col("a") > F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))), k))
         fresh = new.join(edges.select("a", "b"), ["a", "b"], "left_anti").count()
         edges = new
@@ -272,6 +257,21 @@ def _score_search(dim: int):
     return run
 
 
+def _enter(keys: list[int], codes: list[bytes], dim: int, beam: int):  # noqa: ANN202
+    """The best of the entry nodes for each query."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, ids = _unit(np.frombuffer(b"".join(codes), np.int8).reshape(-1, dim)), np.array(keys)
+        for b in batches:
+            s = _unit(_bytes_matrix(b.column(1), dim)) @ x.T
+            n = min(beam, len(ids))
+            best = np.argsort(-s, axis=1, kind="stable")[:, :n]
+            rows = pa.array(np.repeat(np.arange(len(s)), n))
+            yield pa.record_batch([b.column(0).take(rows), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query", "key", "s"])
+
+    return run
+
+
 def greedy_search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, dim: int, k: int = 5, beam: int = 24, entries: int = 48, steps: int = 5) -> DataFrame:
     """(query, key, s): the k nodes found for each query by greedy search on the graph.
 
@@ -284,9 +284,9 @@ def greedy_search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, dim: i
     w = Window.partitionBy("query").orderBy(F.desc("s"), "key")
     score = lambda df: df.select("query", "qcode", "key", "code").mapInArrow(_score_search(dim), "query string, key long, s float")
     q = queries.select(F.col("query").cast("string").alias("query"), F.col("code").alias("qcode"))
-    start = codes.orderBy(F.xxhash64("key"), "key").limit(entries)
-    pool = score(q.join(F.broadcast(start), F.lit(True))).withColumn("opened", F.lit(False))
-    pool = cut(pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= beam).drop("rn"))
+    start = codes.orderBy(F.xxhash64("key"), "key").limit(entries).collect()  # `entries` rows
+    enter = _enter([r["key"] for r in start], [bytes(r["code"]) for r in start], dim, beam)
+    pool = cut(q.select("query", "qcode").mapInArrow(enter, "query string, key long, s float").withColumn("opened", F.lit(False)))
     for _ in range(steps):
         todo = pool.where(~F.col("opened"))
         if todo.isEmpty():

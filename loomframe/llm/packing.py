@@ -69,14 +69,14 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     """(id_col, piece, size, container) for every item; piece counts the parts of a divided item from 0."""
     spark = sizes.sparkSession
     # written once: the range sort below would measure every text a second time for its sample
-    s = cut(sizes.select(F.col(id_col), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("whole")))
+    s = cut(sizes.select(F.col(id_col).alias("_id"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("whole")))
     parts = F.greatest(F.ceil(F.col("whole") / capacity), F.lit(1))
-    items = s.select(id_col, "whole", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("piece"))
-    items = items.select(id_col, "piece", F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("long").alias("size"))
-    ranked = global_rank(items, ["size", id_col, "piece"], by="size")
+    items = s.select("_id", "whole", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("piece"))
+    items = items.select("_id", "piece", F.least(F.lit(capacity), F.col("whole") - F.col("piece") * capacity).cast("long").alias("size"))
+    ranked = global_rank(items, ["size", "_id", "piece"], by="size")
     counts = {r["size"]: r["n"] for r in ranked.where(F.col("size") > 0).groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs, _ = best_fit_plan(counts, capacity)
     plan = spark.createDataFrame(runs, "_size long, _lo long, _hi long, _first long, _fit long")
     met = ranked.join(F.broadcast(plan), (F.col("size") == F.col("_size")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")), "left")
     where = F.coalesce(F.col("_first") + F.floor((F.col("rank") - F.col("_lo")) / F.col("_fit")), F.lit(0))
-    return met.select(id_col, F.col("piece").cast("int").alias("piece"), "size", where.cast("long").alias("container"))
+    return met.select(F.col("_id").alias(id_col), F.col("piece").cast("int").alias("piece"), "size", where.cast("long").alias("container"))

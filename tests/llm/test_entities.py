@@ -74,7 +74,7 @@ def test_hot_key_window(spark):
     assert n.count() == 4999 + 4998 + 4997
 
 
-AGG = "rec_id long, tmdb_id int, imdb_id string, title string, original_title string, title_fr string, release_date date, runtime int, original_language string, director string, budget long, revenue long, sources array<string>, updated_at timestamp, extra int"
+AGG = "rec_id long, tmdb_id int, imdb_id string, title string, original_title string, title_fr string, release_date date, runtime int, original_language string, director string, budget long, revenue long, sources array<string>, updated_at timestamp, `group` int"
 
 
 def agg(i, title, year, person="Orvel Branovan", tmdb=None, imdb=None, runtime=90, budget=None, sources=("tmdb",), day=1, fr=None):

@@ -79,7 +79,7 @@ def test_hot_bucket_windows(spark):
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array([7] * 300), pa.array(np.arange(300, dtype=np.float32)), pa.array(range(300)), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "side", "key", "code"])
-    out = list(nb._bucket_pairs(8, 0.5, 5, 64)(iter([batch])))
+    out = list(nb._group_pairs("bucket", "key", 8, 0.5, 5, 64, True)(iter([batch])))
     seen = set(out[0].column(0).to_pylist()) | set(out[0].column(1).to_pylist())
     assert seen == set(range(300)) and nodes.count() == 300
 

@@ -52,6 +52,12 @@ def test_empty(spark):
     assert [r["container"] for r in pk.pack(spark.createDataFrame([(1, 0), (2, None)], "doc_id long, n long"), "doc_id", "n", 8).collect()] == [0, 0]
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, 5, 0), (2, 3, 0)], "piece long, size long, rank int")
+    got = pk.pack(df.withColumnRenamed("piece", "rank_id"), "rank_id", "size", 8).collect()
+    assert {r["rank_id"]: r["container"] for r in got} == {1: 0, 2: 0}
+
+
 def test_one_hot_size(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(3).alias("n"))
     got = pk.pack(df, "doc_id", "n", 8).groupBy("container").agg(F.count("*").alias("c")).collect()
