@@ -22,7 +22,7 @@ def p1_search(spark: SparkSession, d: str) -> DataFrame:
     hits = neighbours.greedy_search(nodes, edges, q, 64, k=6)
     named = hits.join(nodes.select("key", F.explode("heads").alias("id")), "key").where(F.col("id") != F.col("query"))
     w = neighbours.Window.partitionBy("query").orderBy(F.desc("s"), "id")
-    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("near_id"), "rank", F.round("s", 4).alias("similarity"))
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("near_id"), "rank", F.round(F.col("s").cast("double"), 4).alias("similarity"))
 
 
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -96,11 +96,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+def _reading_sql() -> str:
+    """The reading key by plain string functions: fold, replace shapes, compose."""
+    wide = [(c, lookalikes.FOLD[c]) for c in range(0xFF00, 0xFFF0) if lookalikes.FOLD.get(c)]
+    shapes = [(c, s) for c, s in lookalikes.SHAPE.items() if s != chr(c)]
+    composed = [(0x451, "ë"), (0x401, "Ë"), (0x457, "ï"), (0x407, "Ï"), (0x3CC, "ó"), (0x3AC, "á")]
+    pairs = wide + shapes + composed
+    a, b = "".join(chr(c) for c, _ in pairs), "".join(s for _, s in pairs)
+    text = r"regexp_replace(regexp_replace(text, '[\p{Cf}\x{FE00}-\x{FE0F}\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}]', '', 'g'), '[\p{Zs}\t]', ' ', 'g')"
+    two = lambda x: x.replace("'", "''")
+    return f"nfc_normalize(translate(translate({text}, '{two(a[: len(wide)])}', '{two(b[: len(wide)])}'), '{two(a[len(wide) :])}', '{two(b[len(wide) :])}'))"
+
+
 QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {
     "p1_found": """WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM rag_documents WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 p AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rn FROM p)
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k WHERE rn <= 5 AND s >= 0.85""",
+    "p9_found": f"""WITH k AS (SELECT doc_id, text, {_reading_sql()} AS seen FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.seen = b.seen AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(a.seen, E' \\n\\r') <> ''""",
     "p4_found": "SELECT id FROM rag_documents WHERE length(content) > 1200",
 }

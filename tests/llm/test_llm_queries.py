@@ -13,7 +13,7 @@ def test_runs(spark, name):
     rows = df.collect()
     assert df.columns and len(rows) >= 0
     if name in q.SQL:
-        table = {"p4_found": "rag_documents", "p1_found": "rag_documents"}[name]
+        table = {"p4_found": "rag_documents", "p1_found": "rag_documents", "p9_found": "documents"}[name]
         con = duckdb.connect()
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         rel = con.execute(q.SQL[name])
