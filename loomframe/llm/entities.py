@@ -1,7 +1,7 @@
 """Matching films across tables that share no key.
 
-Records of films, imdb and rt become (key, source, title words, sequel, year, runtime). Sorted
-neighbourhoods over three composite keys give candidates; weighted field similarities give a
+Records of films, imdb and rt become (key, source, title words, sequel, year, runtime). A join of
+equal names and sorted neighbourhoods over three composite keys give candidates; weighted field similarities give a
 confidence; film and imdb records are assigned one to one with the greatest total confidence.
 One film may be scraped more than once, so each rt record takes its best film, and pairs of imdb
 and rt follow from their common film, or directly where no film has either.
@@ -61,15 +61,21 @@ def rt_records(rt: DataFrame) -> DataFrame:
 
 
 def candidates(records: DataFrame) -> DataFrame:
-    """Scored pairs (x, y, conf) of records of different sources, x < y."""
+    """Scored pairs (x, y, conf) of records of different sources, x < y.
+
+    Records that look the same are compared once, by their smallest key. Equal names meet by an exact join, near ones in windows.
+    """
     words = records.select("key", "src", "year", "runtime", F.explode("titles").alias("title")).select("key", "src", "year", "runtime", m.title_words(F.col("title")).alias("words")).where(F.size("words") > 0)
     words = cut(words.withColumn("part", m.sequel(F.col("words"))))
     names = m.with_names(words.select("key", "words"))
     facts = words.groupBy("key").agg(F.first("src").alias("src"), F.max("part").alias("part"), F.first("year", True).alias("year"), F.first("runtime", True).alias("runtime"), F.array_sort(F.collect_set("words")).alias("titles"))
-    entry = names.join(facts, "key")
+    facts = cut(facts)
+    members = cut(m.alike(facts, ["src", "part", "year", "runtime", "titles"]))
+    entry = names.join(facts.join(members.select(F.col("rep").alias("key")).distinct(), "key"), "key")
     tail = F.concat_ws("|", F.col("part").cast("string"), F.lpad(F.coalesce(F.col("year"), F.lit(0)).cast("string"), 4, "0"))
     entry = entry.select(F.struct("key", "src", "name", "part", "year", "runtime", "titles").alias("rec"), F.explode(m.sort_keys(F.col("name"), tail)).alias("k")).select("k.kind", "k.sort", "rec")
-    pairs = m.neighbours(entry, WINDOW).where((F.col("x.src") != F.col("y.src")) & (F.col("x.part") == F.col("y.part")))
+    entry = cut(entry)
+    pairs = m.near_names(entry, WINDOW).unionByName(m.equal_names(entry.where(F.col("kind") == 1), YEARS)).where((F.col("x.src") != F.col("y.src")) & (F.col("x.part") == F.col("y.part")))
     dy, dr = F.abs(F.col("x.year") - F.col("y.year")), F.abs(F.col("x.runtime") - F.col("y.runtime"))
     pairs = pairs.withColumn("d", m.edits(F.col("x.name"), F.col("y.name"))).where(F.col("d").isNotNull() & (dy.isNull() | (dy <= YEARS)))
     rest = lambda s: F.transform(F.col(f"{s}.titles"), lambda t: F.filter(t, lambda w: (w != F.col(f"{s}.name")) & ~F.contains(F.lit(ROMANS), F.concat(F.lit(" "), w, F.lit(" ")))))
@@ -88,7 +94,9 @@ def candidates(records: DataFrame) -> DataFrame:
     far = (F.col("d") == 3) & year & run & agree
     kept = pairs.where((F.col("conf") >= LEAST) & ((F.col("d") == 0) | typo | far))
     a, b = F.least("x.key", "y.key"), F.greatest("x.key", "y.key")
-    return kept.groupBy(a.alias("x"), b.alias("y")).agg(F.max("conf").alias("conf"))
+    kept = kept.groupBy(a.alias("a"), b.alias("b")).agg(F.max("conf").alias("conf"))
+    of = lambda rep, key: members.select(F.col("rep").alias(rep), F.col("key").alias(key))
+    return kept.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y", "conf")
 
 
 def _best(pairs: DataFrame, by: str, other: str) -> DataFrame:

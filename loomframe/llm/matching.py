@@ -14,6 +14,7 @@ from loomframe.session import cut, global_rank
 BLOCK = 2000  # rows of the sorted order that one window partition holds
 RARE = 20  # records that may share a word for it to name a film
 HOT_WORDS_MAX = 4096  # broadcast list of the most frequent words, whatever the input size
+SALTED = 1000  # records of one name, part and year that one share of a join holds
 
 # Accented letters and their plain forms; roman numerals of sequels.
 ACCENTED = "àáâãäåèéêëìíîïòóôõöøùúûüçñýÿ"
@@ -86,6 +87,46 @@ def neighbours(entries: DataFrame, window: int) -> DataFrame:
     return seen.select("kind", "x", F.explode("next").alias("n")).where(F.col("kind") == F.col("n.kind")).select("x", F.col("n.rec").alias("y"))
 
 
+def near_names(entries: DataFrame, window: int) -> DataFrame:
+    """Pairs (x, y) of `rec` structs with two names that typing errors can explain, from entries (kind, sort, rec).
+
+    Places are counted by distinct sort keys, so a run of equal keys is one place however long it is; the records of both
+    places are joined back. A sort key must hold the name.
+    """
+    places = entries.select("kind", "sort", F.struct("kind", "sort", "rec.name").alias("rec")).distinct()
+    d = edits(F.col("x.name"), F.col("y.name"))
+    near = neighbours(places, window).where((F.col("x.name") != F.col("y.name")) & d.isNotNull()).select("x.kind", F.col("x.sort").alias("sx"), F.col("y.sort").alias("sy"))
+    x = entries.select("kind", F.col("sort").alias("sx"), F.col("rec").alias("x"))
+    y = entries.select("kind", F.col("sort").alias("sy"), F.col("rec").alias("y"))
+    return near.join(x, ["kind", "sx"]).join(y, ["kind", "sy"]).select("x", "y")
+
+
+def equal_names(recs: DataFrame, years: int) -> DataFrame:
+    """All pairs (x, y) of `rec` structs (key, name, part, year, ...) of equal name and part, years at most `years` apart or unknown.
+
+    An equi-join on name, part and year (or a mark where the left one has none); keys of many records are salted.
+    """
+    by, unknown = ["name", "part", "at"], F.lit(-9999)
+    year = F.col("rec.year")
+    at = lambda ys: F.explode(ys).alias("at")
+    x = recs.select("rec.name", "rec.part", at(F.when(year.isNull(), F.array(unknown)).otherwise(F.sequence(year, year + years))), F.col("rec").alias("x"))
+    y = recs.select("rec.name", "rec.part", at(F.array_compact(F.array(year, unknown))), F.col("rec").alias("y"))
+    hot = y.groupBy(*by).agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts")).where(F.col("salts") > 1)
+    salts = F.coalesce("salts", F.lit(1))
+    x = x.join(hot, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    y = y.join(hot, by, "left").withColumn("salt", F.pmod(F.hash("y.key"), salts)).drop("salts")
+    return x.join(y, [*by, "salt"]).where(~F.col("x.year").eqNullSafe(F.col("y.year")) | (F.col("x.key") < F.col("y.key"))).select("x", "y")
+
+
+def alike(records: DataFrame, same: list[str]) -> DataFrame:
+    """(key, rep): the smallest key of the records that equal each other in all columns of `same`."""
+    reps = records.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.min("key").alias("rep"))
+    equal = F.lit(True)
+    for c in same:
+        equal &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return records.join(reps, equal).select("key", "rep")
+
+
 def edits(a: Column, b: Column) -> Column:
     """Edit distance of two names where typing errors can explain it, else null."""
     d = F.levenshtein(a, b, 3)

@@ -31,6 +31,15 @@ def test_matches(spark):
     }
 
 
+def test_many_scrapes_of_one_film(spark):
+    """A film meets every scrape of it, with and without year, and through the film imdb does."""
+    films = [film(1, "Nobody Leaves Petuvokil", 2001)]
+    imdb = [("tt1", None, "Nobody Leaves Petuvokil", 2001, 90, 5, "")]
+    rt = [(i, None, "/m/nobody_leaves_petuvokil" + "_2001" * (i % 2) + f"?a={i}", "") for i in range(100)] + [(100 + i, None, "/m/nobody_leaves_petuvokli", "") for i in range(30)]
+    want = {("film:1", "imdb:tt1")} | {(k, f"rt:{i}") for k in ("film:1", "imdb:tt1") for i in range(130)}
+    assert found(spark, films, imdb, rt) == want
+
+
 def test_known_ids(spark):
     got = found(spark, [film(1, "Alpha", 1990, tmdb=7)], [("tt1", 7, None, None, None, None, "")], [(1, 7, None, "")])
     assert got == {("film:1", "imdb:tt1"), ("film:1", "rt:1"), ("imdb:tt1", "rt:1")}
