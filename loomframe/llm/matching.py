@@ -6,6 +6,8 @@ Shared by entity matching between tables and by duplicate groups within one. A r
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,8 +163,9 @@ def assign(pairs: DataFrame, epsilon: float = 0.01, rounds: int = 40) -> DataFra
 
     Pairs whose both sides have no other are taken at once. For the others, every free left
     bids for its best right by how much it is better than its second best (or than staying
-    alone) plus epsilon; the highest bid holds the right. The total is within epsilon per
-    left of the maximum.
+    alone) plus epsilon; the highest bid holds the right. Connected components in which bids
+    are still open after `rounds` joint rounds are auctioned to the end each by itself. The
+    total is within epsilon per left of the maximum.
     """
     dl, dr = pairs.groupBy("l").agg(F.count("*").alias("nl")), pairs.groupBy("r").agg(F.count("*").alias("nr"))
     deg = cut(pairs.join(dl, "l").join(dr, "r"))
@@ -170,24 +173,61 @@ def assign(pairs: DataFrame, epsilon: float = 0.01, rounds: int = 40) -> DataFra
     hard = cut(deg.where((F.col("nl") > 1) | (F.col("nr") > 1)).select("l", "r", "conf"))
     held = hard.select("r", "l", F.lit(0.0).alias("price")).limit(0)
     best = Window.partitionBy("l").orderBy(F.desc("v"), "r")
-    for _ in range(rounds):
+    rest = hard.limit(0)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return _auction(p, epsilon)
+
+    for left in range(rounds, -1, -1):
         offers = hard.join(held.select("l"), "l", "left_anti").join(held.select("r", "price"), "r", "left").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("v", F.col("conf") - F.col("price"))
         offers = offers.withColumn("next", F.lead("v", 1, 0.0).over(best)).withColumn("rn", F.row_number().over(best)).where((F.col("rn") == 1) & (F.col("v") > 0))
         bids = offers.select("r", "l", (F.col("price") + F.col("v") - F.greatest(F.col("next"), F.lit(0.0)) + epsilon).alias("price"))
         bids = cut(bids)
         if bids.isEmpty():
             break
+        if left == 0:
+            side = lambda c: F.concat(F.lit(c), F.col(c).cast("string"))
+            edges = hard.select(side("l").alias("a"), side("r").alias("b"))
+            of = cut(components(edges.select(F.col("a").alias("key")), edges))
+            still = of.join(bids.select(side("l").alias("key")), "key").select("group").distinct()
+            met = of.join(still, "group")
+            rest = hard.withColumn("key", side("l")).join(met, "key").select("group", "l", "r", "conf")
+            rest = cut(rest.groupBy("group").applyInPandas(run, hard.schema))
+            held = held.withColumn("key", side("l")).join(met, "key", "left_anti").select("r", "l", "price")
+            break
         w = Window.partitionBy("r").orderBy(F.desc("price"), "l")
         held = cut(held.unionByName(bids).withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn"))
-    return easy.unionByName(hard.join(held.select("l", "r"), ["l", "r"]).select("l", "r", "conf"))
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(key, group) with the smallest key of each connected component, by label spreading and pointer jumping."""
+    return easy.unionByName(hard.join(held.select("l", "r"), ["l", "r"]).select("l", "r", "conf")).unionByName(rest)
+
+
+def _auction(p: pd.DataFrame, epsilon: float) -> pd.DataFrame:
+    """One component of `assign`, until no left bids: each bid raises a price by epsilon or more, and none beyond the greatest confidence by more."""
+    p = p.sort_values(["l", "r"], ignore_index=True)
+    r, conf = p["r"].astype("category").cat.codes.to_numpy(), p["conf"].to_numpy()
+    edges = list(p.groupby("l").indices.values())
+    price, holder = np.zeros(r.max() + 1), {}
+    free = list(range(len(edges)))
+    while free:
+        l = free.pop()
+        e = edges[l]
+        v = conf[e] - price[r[e]]
+        k = int(v.argmax())
+        if v[k] <= 0:
+            continue
+        at = r[e[k]]
+        price[at] += v[k] - max(np.delete(v, k).max(initial=0.0), 0.0) + epsilon
+        if at in holder:
+            free.append(holder[at][0])
+        holder[at] = (l, e[k])
+    return p.loc[sorted(e for _, e in holder.values()), ["l", "r", "conf"]]
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, group) with the smallest key of each connected component, by label spreading and pointer jumping until nothing changes."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     touched = both.select(F.col("a").alias("key")).distinct()
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("group")).withColumnRenamed("a", "key"))
-    for _ in range(rounds):
+    while True:
         spread = both.join(label.select(F.col("key").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("g"))
         low = label.join(spread.withColumnRenamed("a", "key"), "key").select("key", F.least("group", "g").alias("group"), F.col("group").alias("old"))
         up = label.select(F.col("key").alias("group"), F.col("group").alias("top"))

@@ -67,6 +67,15 @@ def test_assignment_total(spark, seed):
     assert sum(r["conf"] for r in got) >= best(lefts, frozenset()) - 0.01 * len(lefts) - 1e-9
 
 
+@pytest.mark.parametrize("n", [4, 6, 50])
+def test_assignment_goes_on_to_the_end(spark, n):
+    """Many tied bids for few good rights take more rounds than the joint ones; no left stays free beside a free right."""
+    w = [(f"l{i:02}", f"r{j:02}", 1.0 if j < n - 1 else 0.7) for i in range(n) for j in range(n)] + [("other", "single", 0.5)]
+    got = m.assign(spark.createDataFrame(w, "l string, r string, conf double")).collect()
+    assert len({r["l"] for r in got}) == len(got) == len({r["r"] for r in got}) == n + 1
+    assert sum(r["conf"] for r in got) >= n - 1 + 0.7 + 0.5 - 0.01 * n - 1e-9
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "key long")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (7, 6), (6, 5), (9, 8)], "a long, b long")
