@@ -1,6 +1,6 @@
 """Duplicate groups of film records, and the best value of each field by truth discovery.
 
-Groups: sorted neighbourhoods over names and ids, pairs by agreeing evidence, connected components.
+Groups: a join of equal names, sorted neighbourhoods over names and ids, pairs by agreeing evidence, connected components.
 Values: each record claims a value per field in the name of its sources; the reliability of a
 source and the support of each value are estimated in turn until they settle, and each
 field takes its best supported value.
@@ -19,6 +19,7 @@ from loomframe.llm import matching as m
 from loomframe.session import cut
 
 WINDOW = 12
+YEARS = 1  # difference in years that still is the same film
 ROUNDS = 12
 SETTLE = 1e-3
 
@@ -36,7 +37,11 @@ def _person(c: str) -> Column:
 
 
 def duplicate_pairs(df: DataFrame) -> DataFrame:
-    """(a, b) of records with enough evidence that they are one film."""
+    """(a, b) of records with enough evidence that they are one film.
+
+    Records of the same titles and evidence are compared once, by their smallest key, and as soon as it has a partner
+    (or they speak for each other) hang on it, so their number never multiplies. Equal names meet by an exact join.
+    """
     base = df.where(F.col("rec_id").isNotNull()).dropDuplicates(["rec_id"]).select(
         F.col("rec_id").alias("key"), F.array_distinct(F.array_compact(F.array("title", "original_title", "title_fr"))).alias("titles"), F.year("release_date").alias("year"), F.col("release_date").alias("day"),
         F.when(F.col("runtime").between(1, 600), F.col("runtime")).alias("runtime"), _person("director").alias("person"), F.col("tmdb_id").cast("long").alias("tmdb"), imdb_number("imdb_id").alias("imdb"),
@@ -46,21 +51,27 @@ def duplicate_pairs(df: DataFrame) -> DataFrame:
     words = base.select("key", F.explode("titles").alias("t")).select("key", m.title_words(F.col("t")).alias("words")).where(F.size("words") > 0)
     words = cut(words.withColumn("part", m.sequel(F.col("words"))))
     names = m.with_names(words.select("key", "words"))
-    part = words.groupBy("key").agg(F.max("part").alias("part"))
-    entry = names.join(base.drop("titles"), "key").join(part, "key")
+    part = words.groupBy("key").agg(F.max("part").alias("part"), F.array_sort(F.collect_set("words")).alias("words"))
+    facts = cut(base.drop("titles").join(part, "key"))
+    members = cut(m.alike(facts, [c for c in facts.columns if c != "key"]))
+    reps = members.groupBy(F.col("rep").alias("key")).agg((F.count("*") > 1).alias("several"))
+    entry = names.join(facts.drop("words").join(reps, "key"), "key")
     tail = F.concat_ws("|", F.col("part").cast("string"), F.coalesce("person", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")))
     ids = F.array_compact(F.array(
         F.when(F.col("imdb").isNotNull(), F.struct(F.lit(4).alias("kind"), F.concat_ws("|", "imdb", "name").alias("sort"))),
         F.when(F.col("tmdb").isNotNull(), F.struct(F.lit(5).alias("kind"), F.concat_ws("|", F.col("tmdb").cast("string"), "name").alias("sort"))),
     ))
-    entry = entry.select(F.struct("key", "name", "part", "year", "day", "runtime", "person", "tmdb", "imdb", "revenue", "budget").alias("rec"), F.explode(F.concat(m.sort_keys(F.col("name"), tail), ids)).alias("k")).select("k.kind", "k.sort", "rec")
-    p = m.neighbours(entry, WINDOW).where((F.col("x.key") != F.col("y.key")) & (F.col("x.part") == F.col("y.part")))
+    entry = entry.select(F.struct("key", "name", "part", "year", "day", "runtime", "person", "tmdb", "imdb", "revenue", "budget", "several").alias("rec"), F.explode(F.concat(m.sort_keys(F.col("name"), tail), ids)).alias("k")).select("k.kind", "k.sort", "rec")
+    entry = cut(entry)
+    named = entry.where(F.col("kind") == 1)
+    own = named.where("rec.several").select(F.col("rec").alias("x"), F.col("rec").alias("y"))
+    p = m.near_names(entry, WINDOW).where(F.col("x.key") != F.col("y.key")).unionByName(m.equal_names(named, YEARS)).unionByName(own).where(F.col("x.part") == F.col("y.part"))
     p = p.withColumn("d", m.edits(F.col("x.name"), F.col("y.name"))).where(F.col("d").isNotNull())
     eq = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(False))
     dy, dr = F.abs(F.col("x.year") - F.col("y.year")), F.abs(F.col("x.runtime") - F.col("y.runtime"))
     person = F.levenshtein("x.person", "y.person")
     same_person, other_person = F.coalesce(person <= 2, F.lit(False)), F.coalesce(person > 4, F.lit(False))
-    year_ok = F.coalesce(dy <= 1, F.lit(True))
+    year_ok = F.coalesce(dy <= YEARS, F.lit(True))
     id_same = eq("tmdb") | eq("imdb")
     money = eq("revenue") | eq("budget")
     by_id = id_same & year_ok & (~other_person | (eq("tmdb") & eq("day")))
@@ -68,7 +79,10 @@ def duplicate_pairs(df: DataFrame) -> DataFrame:
     exact_day = eq("day") & ~((F.month("x.day") == 1) & (F.dayofmonth("x.day") == 1))  # the first of January stands for a bare year
     by_facts = ~other_person & ((F.col("d") == 0) & F.coalesce(dy <= 1, F.lit(False)) | (exact_day & F.coalesce(dr <= 3, F.lit(True))) | ((F.col("d") == 0) & year_ok & (money | F.coalesce(dr <= 3, F.lit(False)))))
     p = p.where(F.when(F.col("d") <= 2, by_id | by_person | by_facts).otherwise(by_id | (same_person & eq("day") & F.coalesce(dr <= 2, F.lit(True)))))
-    return p.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    p = cut(p.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
+    met = p.select(F.col("a").alias("rep")).unionByName(p.select(F.col("b").alias("rep"))).distinct()
+    copies = members.join(met, "rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return p.unionByName(copies).where(F.col("a") != F.col("b")).distinct()
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:

@@ -118,6 +118,16 @@ def test_groups_and_truth(spark):
     assert best[4]["imdb_id"] is None and best[6]["title"] is None
 
 
+def test_many_films_of_one_title(spark):
+    """Records of one film meet however many of its name lie between; copies join, records that say nothing do not."""
+    who = ["Abel", "Bruno", "Carla", "Doris", "Emil", "Frida", "Gustav", "Hanna", "Ivo", "Jonas", "Karla", "Lotte", "Mira", "Nils", "Olga", "Paul", "Rosa", "Sven", "Tilda", "Uwe"]
+    rows = [agg(i, "Love", 1950 + 2 * i, None) for i in range(20)] + [agg(100 + i, "Love", 1950 + 2 * i, f"{w} Zoludra") for i, w in enumerate(who)]
+    rows += [agg(200 + i, "Love", 1950, None) for i in range(30)] + [agg(300 + i, "Love", None, None, runtime=0) for i in range(2)]
+    groups = {r["rec_id"]: r["group"] for r in sv.duplicate_groups(spark.createDataFrame(rows, AGG)).collect()}
+    want = {i: i for i in range(20)} | {100 + i: i for i in range(20)} | {200 + i: 0 for i in range(30)} | {300: 300, 301: 301}
+    assert groups == want
+
+
 def test_reliability_decides(spark):
     """Of two sources against each other the one that others bear out elsewhere wins."""
     rows = [(g, "runtime", v, v, s, NOW) for g in range(30) for s, v in (("good", "90"), ("also", "90"), ("bad", "80"))] + [(99, "runtime", "100", "100", "good", NOW), (99, "runtime", "70", "70", "bad", NOW)]
