@@ -58,7 +58,7 @@ def _blocks(df: DataFrame, least: float, years: int) -> DataFrame:
 
     Candidates by title are pairs of distinct titles of neighbouring years whose lengths allow the
     ratio and that share one of their rarest trigrams; ids join them further. Components are found
-    by spreading the smallest position.
+    by spreading the smallest position, with pointer jumping, until nothing changes.
     """
     links = []
     for key in ("tmdb_id", "imdb_id"):
@@ -93,10 +93,11 @@ def _blocks(df: DataFrame, least: float, years: int) -> DataFrame:
     edges = links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]).where(F.col("a") != F.col("b"))
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(df.select("pos", F.col("pos").alias("block")))
-    for _ in range(50):
+    while True:
         low = both.join(label.select(F.col("pos").alias("b"), "block"), "b").groupBy("a").agg(F.min("block").alias("m"))
         new = label.join(low.withColumnRenamed("a", "pos"), "pos", "left").select("pos", F.least("block", F.coalesce("m", "block")).alias("block"), F.col("block").alias("was"))
-        new = cut(new)
+        up = label.select(F.col("pos").alias("block"), F.col("block").alias("top"))
+        new = cut(new.join(up, "block").select("pos", F.least("block", "top").alias("block"), "was"))
         done = new.where(F.col("block") != F.col("was")).isEmpty()
         label = new.drop("was")
         if done:

@@ -39,6 +39,12 @@ def test_against_one_pass(spark):
     assert run(spark, rows) == dict(enumerate(want))
 
 
+def test_long_chain_is_one_block(spark):
+    rows = [(i, (i + 1) // 2 + 1, f"tt{i // 2}", None, None, "") for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA + ", name string")
+    assert {(r["pos"], r["block"]) for r in d._blocks(df, 0.9, 1).collect()} == {(i, 0) for i in range(120)}
+
+
 def test_queries(spark):
     df = spark.createDataFrame([(0, "Où est  le film ?"), (1, "ou est le film ?"), (2, "another question"), (3, None)], "i int, q string")
     assert sorted(r["pos"] for r in d.dedupe_queries(df, "q", "i").collect()) == [0, 2]
