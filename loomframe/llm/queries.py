@@ -13,16 +13,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "rag_documents"), "id", "embedding").select("id_a", "id_b")
 
 
+def _by_twenty(c: str):  # noqa: ANN202
+    """Whether a uuid, read as a number, is divisible by 20: every power of 16 leaves 16."""
+    digit = lambda x: F.conv(x, 16, 10).cast("int")
+    digits = F.filter(F.split(F.replace(F.col(c), F.lit("-"), F.lit("")), ""), lambda x: x != "")
+    last = digit(F.substring(c, -1, 1))
+    return (16 * (F.aggregate(digits, F.lit(0), lambda s, x: s + digit(x)) - last) + last) % 20 == 0
+
+
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
-    """Five nearest rows of every embedding whose vec_id is divisible by 20, by greedy graph search."""
-    e = table(spark, d, "embeddings")
-    nodes = neighbours.copy_groups(neighbours.vector_rows(e, "vec_id", "embedding", 64))
+    """Five nearest of all rows for every rag_documents.embedding whose id is divisible by 20, by greedy graph search."""
+    docs = table(spark, d, "rag_documents")
+    nodes = neighbours.copy_groups(neighbours.vector_rows(docs, "id", "embedding", 64), 64)
     edges = neighbours.nn_descent(nodes, 64, k=12)
-    q = neighbours.vector_rows(e.where(F.col("vec_id") % 20 == 0), "vec_id", "embedding", 64).withColumnRenamed("id", "query")
-    hits = neighbours.greedy_search(nodes, edges, q, 64, k=6)
-    named = hits.join(nodes.select("key", F.explode("heads").alias("id")), "key").where(F.col("id") != F.col("query"))
-    w = neighbours.Window.partitionBy("query").orderBy(F.desc("s"), "id")
-    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(F.col("query").cast("long").alias("vec_id"), F.col("id").cast("long").alias("near_id"), "rank", F.round(F.col("s").cast("double"), 4).alias("similarity"))
+    asked = neighbours.vector_rows(docs.where(_by_twenty("id")), "id", "embedding", 64).select(F.col("id").alias("query"), "vec")
+    hits = neighbours.greedy_search(nodes, edges, neighbours.coded(asked, 64), 64, k=6)
+    named = hits.join(nodes.select("key", F.explode("heads").alias("near_id")), "key").where(F.col("near_id") != F.col("query"))
+    w = neighbours.Window.partitionBy("query").orderBy(F.desc("s"), "near_id")
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(F.col("query").alias("id"), "near_id", "rank", F.round("s", 4).alias("similarity"))
 
 
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
