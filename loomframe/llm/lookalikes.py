@@ -1,13 +1,16 @@
 """One consistent form of texts that look the same but differ in their characters.
 
-A table folds invisible characters, kinds of space and character widths, and composes accents.
-Words of the alphabets that share letter shapes are also looked up in the corpus' own vocabulary:
-tries of clean spellings are traversed by a weighted edit automaton in which a look-alike letter or
-an ignorable character costs nothing, so a disguised word gets the spelling that the corpus uses
-most in the document's own alphabet. Words that no trie holds get the letters of the table.
-
-Two texts read the same when their reading keys are equal: the consistent form with each letter
-replaced by the first of its shape. Case, visible accents, punctuation and words stay different.
+Words of the alphabets that share letter shapes are looked up in the corpus' own vocabulary: tries
+of clean spellings are traversed by a weighted edit automaton in which a look-alike letter or an
+ignorable character costs nothing. A word gets the spelling that the corpus uses most: in its form
+one of the document's own alphabet, in its reading key the canonical one, which is the same for all
+words that a trie takes for one (a Latin one before others). Letters that look like more than one
+other, and those that come near another shape, are resolved by the vocabulary alone, and only in
+words that mix alphabets. Words that no trie holds get the letters of the table; a table also folds
+invisible characters, kinds of space and character widths outside of words, and composes accents.
+
+Two texts read the same when their reading keys are equal. Case, visible accents, punctuation and
+words stay different.
 
 Defined cases: null and empty texts have a null or empty form; texts without a visible character
 have a null reading key; repeated rows and equal texts each keep their row; an empty table gives
@@ -45,6 +48,13 @@ SHAPE = {
     if a != b
 }
 
+# Letters of mixed words that may stand for a Latin letter beside their shape's.
+NEAR_LETTERS = "Ӏӏкκнтτмпηгьυωσ"
+NEAR_SHAPES = "llkkhttmnnrbywo"
+NEAR = dict(zip(NEAR_LETTERS, NEAR_SHAPES, strict=True))
+# One letter for all that the shapes and the near letters may join; it only finds the trie to ask.
+COARSE = {ord("I"): "l", ord("i"): "l", ord("к"): "k", ord("u"): "y"} | {ord(a): b for a, b in NEAR.items() if ord(a) not in SHAPE}
+
 
 def _fold_table() -> dict[int, str | None]:
     """By rule: invisible characters go, spaces become one, wide, narrow and styled forms their plain one."""
@@ -67,9 +77,9 @@ def _fold_table() -> dict[int, str | None]:
 FOLD = _fold_table()
 # Code point ranges: letters of the alphabets that share shapes, marks and ignorable characters
 # that may stand inside a word, and whatever makes a text worth a closer look.
-LETTER_RANGES = [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x370, 0x37D), (0x37F, 0x3FF), (0x400, 0x481), (0x48A, 0x52F), (0x531, 0x556), (0x561, 0x587), (0x1E00, 0x1FFF), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)]
+LETTER_RANGES = [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x370, 0x37D), (0x37F, 0x3FF), (0x400, 0x481), (0x48A, 0x52F), (0x531, 0x556), (0x561, 0x587), (0x1E00, 0x1FFF), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0x1D400, 0x1D7FF)]
 JOINED_RANGES = [(0x300, 0x36F), (0x483, 0x487), (0xAD, 0xAD), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x2069), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF)]
-ODD_RANGES = [*JOINED_RANGES, (0x250, 0x2AF), (0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x587), (0x1F00, 0x1FFF), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)]
+ODD_RANGES = [*JOINED_RANGES, (0x131, 0x131), (0x237, 0x237), (0x250, 0x2AF), (0x370, 0x3FF), (0x400, 0x52F), (0x531, 0x587), (0x1F00, 0x1FFF), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0x1D400, 0x1D7FF)]
 
 
 def _class(ranges: list[tuple[int, int]]) -> str:
@@ -122,11 +132,11 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = (n, word)
 
-    def find(self, word: str, budget: int = 0) -> list[tuple[int, int, str]]:
+    def find(self, word: str, budget: int = 0, near: bool = False) -> list[tuple[int, int, str]]:
         """(cost, -count, spelling) of every spelling within `budget` edits of the word.
 
-        States are trie nodes with their least cost. A look-alike or ignorable character is free;
-        any other substitution, insertion or deletion costs one.
+        States are trie nodes with their least cost. A look-alike or ignorable character is free,
+        with `near` also a letter of NEAR; any other substitution, insertion or deletion costs one.
         """
         states: list[tuple[dict, int]] = [(self.root, 0)]
         for c in unicodedata.normalize("NFD", word):
@@ -134,6 +144,7 @@ class Trie:
             if plain is None:
                 continue
             want = SHAPE.get(ord(plain), plain)
+            also = NEAR.get(plain, want) if near else want
             best: dict[int, tuple[dict, int]] = {}
 
             def step(node: dict, cost: int, best: dict[int, tuple[dict, int]] = best) -> None:
@@ -144,11 +155,11 @@ class Trie:
                 for k, child in node.items():
                     if k == "":
                         continue
-                    step(child, cost + (SHAPE.get(ord(k), k) != want))
+                    step(child, cost + (SHAPE.get(ord(k), k) not in (want, also)))
                     if cost < budget:
                         for k2, deeper in child.items():
                             if k2 != "":
-                                step(deeper, cost + 1 + (SHAPE.get(ord(k2), k2) != want))
+                                step(deeper, cost + 1 + (SHAPE.get(ord(k2), k2) not in (want, also)))
                 step(node, cost + 1)
             states = list(best.values())
         for node, cost in states:  # grows while it is read: what a spelling has beyond the word's end
@@ -203,6 +214,11 @@ def suspects(words: list[str], main: str) -> set[str]:
     return out
 
 
+def shared_shape(words: list[str]) -> set[str]:
+    """Words of other alphabets whose every letter has a Latin look-alike: a Latin spelling may be the canonical one."""
+    return {w for w in set(words) if not w.isascii() and "latin" not in scripts(w) and scripts(shape(fold(w))) == {"latin"}}
+
+
 def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of clean spellings, and the distinct suspects of each text with its main alphabet."""
     names = ["key", "script", "word", "n"]
@@ -214,7 +230,7 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count.update(words)
             if ODD.search(text):
                 main = _main_script(words)
-                for w in suspects(words, main):
+                for w in suspects(words, main) | shared_shape(words):
                     keys.append(key)
                     mains.append(main)
                     found.append(w)
@@ -233,42 +249,48 @@ def _counts(count: Counter, names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([none, none, pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names)
 
 
-def _with_shape(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def skeleton(word: str) -> str:
+    """What all words have in common that a trie may take for one."""
+    return shape(fold(word)).translate(COARSE)
+
+
+def _with_skeleton(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        shapes = [shape(fold(w)) for w in b.column(0).to_pylist()]
-        yield pa.record_batch([pa.array(shapes, pa.string()), b.column(0), b.column(1)], ["shape", "word", "n"])
+        yield pa.record_batch([pa.array([skeleton(w) for w in b.column(0).to_pylist()], pa.string()), b.column(0), b.column(1)], ["shape", "word", "n"])
+
+
+def spellings(trie: Trie, word: str) -> dict[str, str]:
+    """The most frequent spelling per alphabet that a trie has for a word, and under "" the canonical one."""
+    found = trie.find(word) or ([] if _clean(word) else trie.find(word, near=True))
+    best: dict[str, tuple[int, str]] = {}
+    for _, n, spelling in found:
+        own = next(iter(scripts(spelling)), "latin")
+        best[own] = min(best.get(own, (1, "")), (n, spelling))
+    out = {k: v for k, (_, v) in best.items()}
+    return out | {"": out.get("latin") or min(best.values())[1]} if best else {}
 
 
 def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spellings per alphabet of each suspect (n = 0) from the trie of the clean words of its shapes."""
+    """Spellings of each asked word (n = 0) from the trie of the clean words of its skeletons."""
     held: str | None = None
     trie, asked = Trie(), []
 
-    def answer() -> pa.RecordBatch | None:
-        rows = []
-        for w in asked:
-            for cost, n, spelling in trie.find(w):
-                rows.append((w, next(iter(scripts(spelling))), spelling, n))
-        best: dict[tuple[str, str], tuple[int, str]] = {}
-        for w, s, spelling, n in rows:
-            if (w, s) not in best or (n, spelling) < best[w, s]:
-                best[w, s] = (n, spelling)
-        if not best:
-            return None
-        return pa.record_batch([pa.array([w for w, _ in best]), pa.array([s for _, s in best]), pa.array([v[1] for v in best.values()])], ["word", "script", "spelling"])
+    def answer() -> pa.RecordBatch:
+        rows = [(w, s, x) for w in asked for s, x in spellings(trie, w).items()]
+        return pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["word", "script", "spelling"])
 
     for b in batches:
         for sh, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held != sh[:2]:  # a trie for each two first letters of the partition's share
-                if asked and (out := answer()) is not None:
-                    yield out
+                if asked:
+                    yield answer()
                 held, trie, asked = sh[:2], Trie(), []
             if n:
                 trie.add(word, n)
             else:
                 asked.append(word)
-    if asked and (out := answer()) is not None:
-        yield out
+    if asked:
+        yield answer()
 
 
 def _rewrite(text: str, spelling: dict[str, str]) -> str:
@@ -278,62 +300,78 @@ def _rewrite(text: str, spelling: dict[str, str]) -> str:
 
 
 def _forms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = lambda t: hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
     for b in batches:
         forms, keys, raws = [], [], []
-        for text, words, new in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if text is None:
                 forms.append(None)
                 keys.append(None)
                 raws.append(None)
                 continue
-            spelling = dict(zip(words or (), new or (), strict=True))
-            if ODD.search(text):  # words that no trie held
-                found = WORD.findall(text)
-                main = _main_script(found)
-                for w in suspects(found, main):
-                    if w not in spelling:
-                        spelling[w] = table_spelling(w, main)
-            form = _rewrite(text, spelling)
-            forms.append(form)
-            seen = shape(form)
-            keys.append(hashlib.blake2b(seen.encode("utf-8", "replace"), digest_size=16).digest() if seen.strip() else None)
-            raws.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
+            own = {f["word"]: f["spelling"] for f in found or () if f["script"]}
+            canon = {f["word"]: f["spelling"] for f in found or () if not f["script"]}
+            if ODD.search(text):  # the table, for words that no trie held
+                words = WORD.findall(text)
+                main = _main_script(words)
+                for w in suspects(words, main):
+                    if w not in own:
+                        own[w] = table_spelling(w, main)
+                for w in set(words):
+                    if w not in canon and not _clean(w):
+                        canon[w] = shape(fold(w))
+            seen = _rewrite(text, canon)
+            forms.append(_rewrite(text, own))
+            keys.append(digest(seen) if seen.strip() else None)
+            raws.append(digest(text))
         yield pa.record_batch([b.column(0), pa.array(forms, pa.string()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["key", "form", "reading", "raw"])
 
 
 def consistent_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, form, reading, raw): the consistent text, its reading key, and a digest of the original.
 
-    Words are counted over all texts. Suspects meet the vocabulary by the shape of the word, hashed
-    over the partitions, never as a broadcast. Only texts with an unusual character are shuffled
-    back to their spellings; all others are folded where they are read.
+    Words are counted over all texts. Asked words meet the vocabulary by their skeletons, hashed over
+    the partitions, never as a broadcast. Only texts with an unusual character are shuffled back to
+    their spellings; all others are folded where they are read.
     """
     width = shuffle_width(df.sparkSession)
     t = df.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
     seen = cut(t.where(F.col("text").isNotNull()).mapInArrow(_survey, "key string, script string, word string, n long"))
     vocabulary = seen.where(F.col("n") > 0).groupBy("word").agg(F.sum("n").alias("n"))
-    asked = seen.where(F.col("n") == 0).select("word", F.lit(0).cast("long").alias("n")).distinct()
-    both = vocabulary.unionByName(asked).mapInArrow(_with_shape, "shape string, word string, n long")
+    wanted = seen.where(F.col("n") == 0).select("key", F.col("script").alias("main"), "word").distinct()
+    asked = wanted.select("word", F.lit(0).cast("long").alias("n")).distinct()
+    both = vocabulary.unionByName(asked).mapInArrow(_with_skeleton, "shape string, word string, n long")
     found = both.repartition(width, "shape").sortWithinPartitions("shape").mapInArrow(_resolve, "word string, script string, spelling string")
-    per = seen.where(F.col("n") == 0).select("key", "script", "word").distinct().join(found, ["word", "script"])
-    per = per.groupBy("key").agg(F.collect_list(F.struct("word", "spelling")).alias("p")).select("key", F.col("p.word").alias("words"), F.col("p.spelling").alias("new"))
-    none = F.lit(None).cast("array<string>")
+    per = wanted.join(found, "word").where(F.col("script").isin("") | (F.col("script") == F.col("main")))
+    per = per.groupBy("key").agg(F.collect_list(F.struct("word", "script", "spelling")).alias("found"))
     odd = F.coalesce(F.col("text").rlike(ODD_JVM), F.lit(False))
-    plain = t.where(~odd).select("key", "text", none.alias("words"), none.alias("new"))
-    rest = t.where(odd).join(per, "key", "left").select("key", "text", "words", "new")
+    none = F.lit(None).cast("array<struct<word: string, script: string, spelling: string>>")
+    plain = t.where(~odd).select("key", "text", none.alias("found"))
+    rest = t.where(odd).join(per, "key", "left").select("key", "text", "found")
     schema = "key string, form string, reading binary, raw binary"
     return plain.mapInArrow(_forms, schema).unionByName(rest.mapInArrow(_forms, schema))
 
 
+HOT_TEXTS = 1000  # most texts whose many copies are salted
+
+
 def same_reading(forms: DataFrame) -> DataFrame:
-    """(a, b) of rows that read the same and differ in their characters; a < b as numbers or text of equal length.
+    """(a, b) of rows that read the same and differ in their characters; a < b as numbers.
 
-    Exact copies are one row until the end: distinct originals of a reading are paired first.
+    Distinct originals of a reading are paired first; only then the rows of each original come in,
+    those of many copies salted, so no more rows are made than come out.
     """
-    # written once, without the texts: it is read for the groups and on both sides of the pairs
+    # written once, without the texts
     r = cut(forms.where(F.col("reading").isNotNull()).select(F.col("key").cast("long").alias("id"), "reading", "raw"))
     several = r.groupBy("reading").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("reading")
-    m = r.join(several, "reading")
-    x = m.select("reading", F.col("id").alias("a"), F.col("raw").alias("ra"))
-    y = m.select("reading", F.col("id").alias("b"), F.col("raw").alias("rb"))
-    return x.join(y, "reading").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
+    rows = cut(r.join(several, "reading"))
+    texts = rows.groupBy("reading", "raw").agg(F.count("*").alias("n"))
+    pairs = texts.select("reading", F.col("raw").alias("ra")).join(texts.select("reading", F.col("raw").alias("rb")), "reading").where(F.col("ra") < F.col("rb")).select("ra", "rb")
+    share = max(100_000, rows.count() // HOT_TEXTS)
+    hot = F.broadcast(texts.where(F.col("n") > share).select("raw", F.ceil(F.col("n") / share).cast("int").alias("salts")))  # at most HOT_TEXTS
+    salts = F.coalesce("salts", F.lit(1))
+    member = rows.join(hot, "raw", "left").select("raw", "id", F.pmod(F.hash("id"), salts).alias("salt"))
+    for side, out in (("ra", "a"), ("rb", "b")):
+        spread = pairs.withColumnRenamed(side, "raw").join(hot, "raw", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        pairs = spread.join(member, ["raw", "salt"]).drop("raw", "salt").withColumnRenamed("id", out)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,16 +106,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+# Fixed values of the SQL check, apart from the operator's tables: letters of other alphabets and what they look like.
+_SEEN_AS = """а a, в ʙ, е e, о o, р p, с c, у y, х x, і i, ј j, ѕ s, һ h, ԁ d, ԛ q, ԝ w, ӏ i, А A, В B, Е E, К K, М M, Н H, О O, Р P, С C, Т T, У Y, Х X, І I, Ј J, Ѕ S, Һ h, Ԍ G, Ԛ Q, Ԝ W, Ӏ I,
+α a, ι i, κ к, ν v, ο o, ρ p, υ u, χ x, γ y, Α A, Β B, Ε E, Ζ Z, Η H, Ι I, Κ K, Μ M, Ν N, Ο O, Ρ P, Τ T, Υ Y, Χ X, Ϲ C, ϳ j, օ o, ո n, ս u, հ h, ց g, զ q, յ j, Օ O, Ս U, Լ L, ɡ g, ɑ a, ı i, ȷ j, ɩ i, ё ë, Ё Ë, ї ï, Ї Ï, ό ó, ά á"""
+
+
 def _reading_sql() -> str:
-    """The reading key by plain string functions: fold, replace shapes, compose."""
-    wide = [(c, lookalikes.FOLD[c]) for c in range(0xFF00, 0xFFF0) if lookalikes.FOLD.get(c)]
-    shapes = [(c, s) for c, s in lookalikes.SHAPE.items() if s != chr(c)]
-    composed = [(0x451, "ë"), (0x401, "Ë"), (0x457, "ï"), (0x407, "Ï"), (0x3CC, "ó"), (0x3AC, "á")]
-    pairs = wide + shapes + composed
-    a, b = "".join(chr(c) for c, _ in pairs), "".join(s for _, s in pairs)
+    """The reading by plain string functions: drop what is invisible, one kind of space, plain widths, look-alikes, compose."""
+    wide = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFA0)]]
+    seen = [tuple(x.split()) for x in _SEEN_AS.split(",")]
+    two = lambda pairs, i: "".join(p[i] for p in pairs).replace("'", "''")
     text = r"regexp_replace(regexp_replace(text, '[\p{Cf}\x{FE00}-\x{FE0F}\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}]', '', 'g'), '[\p{Zs}\t]', ' ', 'g')"
-    two = lambda x: x.replace("'", "''")
-    return f"nfc_normalize(translate(translate({text}, '{two(a[: len(wide)])}', '{two(b[: len(wide)])}'), '{two(a[len(wide) :])}', '{two(b[len(wide) :])}'))"
+    return f"nfc_normalize(translate(translate({text}, '{two(wide, 0)}', '{two(wide, 1)}'), '{two(seen, 0)}', '{two(seen, 1)}'))"
 
 
 QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}

@@ -76,3 +76,29 @@ def test_very_long_text(spark):
     long = (PLAIN + " ") * 4000
     got = forms(spark, [long, long.replace("o", ch(0x43E))])
     assert got[0]["reading"] == got[1]["reading"] and got[1]["form"] == long
+
+
+def test_only_a_trie_tells(spark):
+    """A stroke that may be an I or an l, and a letter near another shape: the vocabulary decides, the table cannot."""
+    stroke, kappa, pe = ch(0x4C0), ch(0x3BA), ch(0x43F)
+    texts = ["the whole world walks alone", "the whole wor" + stroke + "d walks alone", "the whole world wal" + kappa + "s alone", "the whole world walks alo" + pe + "e", "Island", stroke + "sland"]
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    pairs = lambda: sorted((r["a"], r["b"]) for r in lk.same_reading(lk.consistent_forms(df, "doc_id", "text")).collect())
+    assert pairs() == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (4, 5)]
+    t = lk.Trie()
+    t.add("world", 1)
+    assert lk.spellings(t, "wor" + stroke + "d") == {"latin": "world", "": "world"} and lk.shape(lk.fold("wor" + stroke + "d")) != "world"
+
+
+def test_clean_words_keep_their_letters(spark):
+    """A clean word is never taken for one of near letters, only for one of equal shapes."""
+    russian, greek = ch(0x442, 0x43E), ch(0x3C4, 0x3BF)
+    got = forms(spark, ["to be", russian + " be", greek + " be", ch(0x441) + " be", "c be"])
+    assert len({got[i]["reading"] for i in range(3)}) == 3 and got[3]["reading"] == got[4]["reading"]
+
+
+def test_copies_of_one_text_pair_only_with_others(spark):
+    rows = [(i, PLAIN, "") for i in range(300)] + [(300, PLAIN.replace("o", ch(0x43E)), "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = lk.same_reading(lk.consistent_forms(df, "doc_id", "text")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(i, 300) for i in range(300)]
