@@ -73,13 +73,15 @@ def candidates(records: DataFrame) -> DataFrame:
     members = cut(m.alike(facts, ["src", "part", "year", "runtime", "titles"]))
     entry = names.join(facts.join(members.select(F.col("rep").alias("key")).distinct(), "key"), "key")
     tail = F.concat_ws("|", F.col("part").cast("string"), F.lpad(F.coalesce(F.col("year"), F.lit(0)).cast("string"), 4, "0"))
-    entry = entry.select(F.struct("key", "src", "name", "part", "year", "runtime", "titles").alias("rec"), F.explode(m.sort_keys(F.col("name"), tail)).alias("k")).select("k.kind", "k.sort", "rec")
+    # what only depends on a record is worked out before pairs multiply it
+    entry = entry.withColumn("rest", m.other_words(F.col("titles"), F.col("name"), ROMANS)).withColumn("same", m.same_words(F.col("rest")))
+    entry = entry.select(F.struct("key", "src", "name", "part", "year", "runtime", "rest", "same").alias("rec"), F.explode(m.sort_keys(F.col("name"), tail)).alias("k")).select("k.kind", "k.sort", "rec")
     entry = cut(entry)
     pairs = m.near_names(entry, WINDOW).unionByName(m.equal_names(entry.where(F.col("kind") == 1), YEARS)).where((F.col("x.src") != F.col("y.src")) & (F.col("x.part") == F.col("y.part")))
     dy, dr = F.abs(F.col("x.year") - F.col("y.year")), F.abs(F.col("x.runtime") - F.col("y.runtime"))
     pairs = pairs.withColumn("d", m.edits(F.col("x.name"), F.col("y.name"))).where(F.col("d").isNotNull() & (dy.isNull() | (dy <= YEARS)))
-    rest = lambda s: F.transform(F.col(f"{s}.titles"), lambda t: F.filter(t, lambda w: (w != F.col(f"{s}.name")) & ~F.contains(F.lit(ROMANS), F.concat(F.lit(" "), w, F.lit(" ")))))
-    best = F.array_max(F.flatten(F.transform(rest("x"), lambda p: F.transform(rest("y"), lambda q: m.agreement(p, q)))))
+    best = F.array_max(F.flatten(F.transform("x.rest", lambda p: F.transform(F.col("y.rest"), lambda q: m.agreement(p, q)))))
+    best = F.when(F.arrays_overlap("x.same", "y.same"), 1.0).otherwise(best)
     near = 1 - F.col("d") / F.greatest(F.length("x.name"), F.length("y.name"))
     years = F.when(dy == 0, 1.0).when(dy == 1, 0.85)
     runs = F.when(dr <= 2, 1.0).when(dr <= 5, 0.7).when(dr.isNotNull(), 0.2)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from loomframe.session import cut, global_rank
 
 BLOCK = 2000  # rows of the sorted order that one window partition holds
-RARE = 20  # records that may share a word for it to name a film
-HOT_WORDS_MAX = 4096  # broadcast list of the most frequent words, whatever the input size
+FEW = 20  # records that one film may have: a word of so few names a film in the smallest table too
+LIKE_RAREST = 3  # held by more than FEW, a title's second word names it only where it is at most so many times as frequent as the rarest
+SHARE = 0.001  # beyond that, greatest share of the records that may hold a word for it to name a film
 SALTED = 1000  # records of one name, part and year that one share of a join holds
 
 # Accented letters and their plain forms; roman numerals of sequels.
@@ -45,18 +46,21 @@ def sequel(words: Column) -> Column:
 
 
 def with_names(records: DataFrame) -> DataFrame:
-    """(key, name) of each record: the up to two rarest words of each title, or the whole title if no word is rare.
+    """(key, name) of each record: the rarest word of each title and the next one if it is nearly as rare, or the whole title if no word is rare.
 
-    `records` has key and words (array), a row for each title. Words are counted over all records; the most frequent
-    ones are put aside by a broadcast list of bounded length before rare words are joined.
+    `records` has key and words (array), a row for each title. A word is rare by the share of the records that hold it, so
+    that more records of the same vocabulary change nothing. At most 1 / SHARE times the words of a mean record are
+    frequent; they are put aside by a broadcast list before rare words are joined.
     """
+    most = FEW + SHARE * records.select("key").distinct().count()
     w = records.select("key", F.concat_ws(" ", "words").alias("title"), F.explode(F.array_distinct("words")).alias("word"))
     count = w.select("key", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    hot = count.where(F.col("df") > RARE).orderBy(F.desc("df"), "word").limit(HOT_WORDS_MAX).select("word")
-    rare = count.where(F.col("df") <= RARE)
+    hot = count.where(F.col("df") > most).select("word")
+    rare = count.where(F.col("df") <= most)
     long = w.where((F.length("word") >= 4) & ~F.col("word").rlike(r"\d"))
     named = long.join(F.broadcast(hot), "word", "left_anti").join(rare, "word")
-    best = named.withColumn("rn", F.row_number().over(Window.partitionBy("key", "title").orderBy("df", F.desc(F.length("word")), "word"))).where(F.col("rn") <= 2).select("key", F.col("word").alias("name")).distinct()
+    title = Window.partitionBy("key", "title").orderBy("df", F.desc(F.length("word")), "word")
+    best = named.withColumn("rn", F.row_number().over(title)).withColumn("least", F.first("df").over(title)).where((F.col("rn") <= 2) & (F.col("df") <= F.greatest(F.lit(FEW), LIKE_RAREST * F.col("least")))).select("key", F.col("word").alias("name")).distinct()
     rest = records.join(best.select("key").distinct(), "key", "left_anti").select("key", F.concat_ws(" ", "words").alias("name")).where(F.col("name") != "").distinct()
     return best.unionByName(rest)
 
@@ -136,18 +140,29 @@ def edits(a: Column, b: Column) -> Column:
     return F.when((d >= 0) & (d <= F.when(short >= 8, 3).when(short >= 6, 2).when(short >= 4, 1).otherwise(0)), d)
 
 
+def other_words(titles: Column, name: Column, stop: str) -> Column:
+    """The words of each title beside its name and those in `stop`, the long ones (four letters or more) apart."""
+    kept = F.transform(titles, lambda t: F.filter(t, lambda w: (w != name) & ~F.contains(F.lit(stop), F.concat(F.lit(" "), w, F.lit(" ")))))
+    return F.transform(kept, lambda t: F.struct(F.filter(t, lambda w: F.length(w) >= 4).alias("long"), F.filter(t, lambda w: F.length(w) < 4).alias("short")))
+
+
+def same_words(rest: Column) -> Column:
+    """The long words of each title as one text, where they tell: equal texts agree without a look at single words."""
+    told = F.filter(rest, lambda t: (F.size(t["long"]) > 0) | (F.size(t["short"]) == 0))
+    return F.transform(told, lambda t: F.concat_ws(" ", t["long"]))
+
+
 def agreement(p: Column, q: Column) -> Column:
     """Whether the other words of two titles agree (1), disagree (0) or may be translations (null).
 
     Words of four letters or more agree up to two wrong letters; half of the fewer ones must. Titles that share a short word
     are taken to be of one language, so that different long words disagree.
     """
-    cut_ = lambda t, long: F.filter(t, lambda w: (F.length(w) >= 4) if long else (F.length(w) < 4))
-    a, b = cut_(p, True), cut_(q, True)
-    near = F.size(F.filter(a, lambda x: F.exists(b, lambda y: (x == y) | ((F.length(x) >= 5) & (F.levenshtein(x, y) <= 2)))))
+    a, b = p["long"], q["long"]
+    near = F.size(F.filter(a, lambda x: F.exists(b, lambda y: (x == y) | ((F.length(x) >= 5) & (F.levenshtein(x, y, 2) >= 0)))))
     fewer = F.least(F.size(a), F.size(b))
-    one = F.arrays_overlap(cut_(p, False), cut_(q, False))
-    bare = (F.size(p) == 0) & (F.size(q) == 0)
+    one = F.arrays_overlap(p["short"], q["short"])
+    bare = (F.size(a) + F.size(p["short"]) == 0) & (F.size(b) + F.size(q["short"]) == 0)
     return F.when(bare | ((fewer > 0) & (near >= fewer / 2)), 1.0).when(one & (F.greatest(F.size(a), F.size(b)) > 0), 0.0)
 
 
@@ -158,45 +173,49 @@ def weighted(parts: list[tuple[float, Column]]) -> Column:
     return total / F.when(weight > 0, weight)
 
 
-def assign(pairs: DataFrame, epsilon: float = 0.01, rounds: int = 40) -> DataFrame:
+def assign(pairs: DataFrame, epsilon: float = 0.01, rounds: int = 40, small: int = 200_000) -> DataFrame:
     """One-to-one assignment of (l, r, conf) with the greatest total confidence, by auction.
 
     Pairs whose both sides have no other are taken at once. For the others, every free left
     bids for its best right by how much it is better than its second best (or than staying
-    alone) plus epsilon; the highest bid holds the right. Connected components in which bids
-    are still open after `rounds` joint rounds are auctioned to the end each by itself. The
-    total is within epsilon per left of the maximum.
+    alone) plus epsilon; the highest bid holds the right. Joint rounds go on until no bid is left;
+    after `rounds` of them, connected components of up to `small` pairs that still bid are
+    auctioned to the end each by itself. The total is within epsilon per left of the maximum.
     """
     dl, dr = pairs.groupBy("l").agg(F.count("*").alias("nl")), pairs.groupBy("r").agg(F.count("*").alias("nr"))
     deg = cut(pairs.join(dl, "l").join(dr, "r"))
     easy = deg.where((F.col("nl") == 1) & (F.col("nr") == 1)).select("l", "r", "conf")
     hard = cut(deg.where((F.col("nl") > 1) | (F.col("nr") > 1)).select("l", "r", "conf"))
     held = hard.select("r", "l", F.lit(0.0).alias("price")).limit(0)
-    best = Window.partitionBy("l").orderBy(F.desc("v"), "r")
     rest = hard.limit(0)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         return _auction(p, epsilon)
 
-    for left in range(rounds, -1, -1):
+    at = 0
+    while True:
+        tie = F.col("r") if at < rounds else F.xxhash64("l", "r")  # later, tied bids are spread over the rights
+        best = Window.partitionBy("l").orderBy(F.desc("v"), tie)
         offers = hard.join(held.select("l"), "l", "left_anti").join(held.select("r", "price"), "r", "left").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("v", F.col("conf") - F.col("price"))
         offers = offers.withColumn("next", F.lead("v", 1, 0.0).over(best)).withColumn("rn", F.row_number().over(best)).where((F.col("rn") == 1) & (F.col("v") > 0))
-        bids = offers.select("r", "l", (F.col("price") + F.col("v") - F.greatest(F.col("next"), F.lit(0.0)) + epsilon).alias("price"))
-        bids = cut(bids)
+        bids = cut(offers.select("r", "l", (F.col("price") + F.col("v") - F.greatest(F.col("next"), F.lit(0.0)) + epsilon).alias("price")))
         if bids.isEmpty():
             break
-        if left == 0:
+        if at == rounds:
             side = lambda c: F.concat(F.lit(c), F.col(c).cast("string"))
             edges = hard.select(side("l").alias("a"), side("r").alias("b"))
-            of = cut(components(edges.select(F.col("a").alias("key")), edges))
+            of = components(edges.select(F.col("a").alias("key")), edges)
             still = of.join(bids.select(side("l").alias("key")), "key").select("group").distinct()
-            met = of.join(still, "group")
-            rest = hard.withColumn("key", side("l")).join(met, "key").select("group", "l", "r", "conf")
-            rest = cut(rest.groupBy("group").applyInPandas(run, hard.schema))
-            held = held.withColumn("key", side("l")).join(met, "key", "left_anti").select("r", "l", "price")
-            break
+            met = hard.withColumn("key", side("l")).join(of.join(still, "group"), "key")
+            few = met.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") <= small)
+            met = cut(met.join(few, "group").select("group", "l", "r", "conf"))
+            rest = cut(met.groupBy("group").applyInPandas(run, hard.schema))
+            done = met.select("l").distinct()
+            hard, held = cut(hard.join(done, "l", "left_anti")), held.join(done, "l", "left_anti")
+            bids = bids.join(done, "l", "left_anti")
         w = Window.partitionBy("r").orderBy(F.desc("price"), "l")
         held = cut(held.unionByName(bids).withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn"))
+        at += 1
     return easy.unionByName(hard.join(held.select("l", "r"), ["l", "r"]).select("l", "r", "conf")).unionByName(rest)
 
 

@@ -3,7 +3,8 @@
 Groups: a join of equal names, sorted neighbourhoods over names and ids, pairs by agreeing evidence, connected components.
 Values: each record claims a value per field in the name of its sources; the reliability of a
 source and the support of each value are estimated in turn until they settle, and each
-field takes its best supported value.
+field takes its best supported value. A record that the year and the director so found both speak
+against is another film that a chain of pairs had joined: it leaves its group, with its likes.
 
 Defined cases: fillers, values out of range and blanks claim nothing; a field without any claim
 is null; ties go to the value claimed latest, then to the smaller one; a record without
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm import matching as m
-from loomframe.session import cut
+from loomframe.session import cut, shuffle_width
 
 WINDOW = 12
 YEARS = 1  # difference in years that still is the same film
@@ -86,9 +87,35 @@ def duplicate_pairs(df: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
-    """(rec_id, group): the smallest rec_id of each film's records."""
+    """(rec_id, group): the smallest rec_id of each film's records, as far as pairs tell."""
+    return _groups(df, duplicate_pairs(df))
+
+
+def _groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
     nodes = df.where(F.col("rec_id").isNotNull()).select(F.col("rec_id").alias("key"))
-    return m.components(nodes, duplicate_pairs(df)).withColumnRenamed("key", "rec_id")
+    return m.components(nodes, pairs).withColumnRenamed("key", "rec_id")
+
+
+def merged_groups(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rec_id, group) of the records that truth discovery bears out as one film, and the truth of each group.
+
+    Year and director are found for each group of pairs; records that both contradict part from
+    it, and what stays together on either side is grouped again.
+    """
+    pairs = cut(duplicate_pairs(df))
+    groups = cut(_groups(df, pairs))
+    best = cut(truth(claims(df, groups, FIELDS)))
+    true = best.where(F.col("field").isin("release_date", "director")).groupBy("group").pivot("field", ["release_date", "director"]).agg(F.first("value"))
+    said = df.where(F.col("rec_id").isNotNull()).dropDuplicates(["rec_id"]).select("rec_id", F.year("release_date").alias("year"), _person("director").alias("person"))
+    other = (F.abs(F.col("year") - F.year(F.col("release_date").cast("date"))) > YEARS) & (F.levenshtein("person", "director") > 4)
+    parted = cut(said.join(groups, "rec_id").join(true, "group").where(other).select("rec_id"))
+    if parted.isEmpty():
+        return groups, best
+    out = parted.withColumn("out", F.lit(True))
+    side = lambda c: out.select(F.col("rec_id").alias(c), F.col("out").alias(f"o_{c}"))
+    kept = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.col("o_a").eqNullSafe(F.col("o_b"))).select("a", "b")
+    groups = cut(_groups(df, kept))
+    return groups, truth(claims(df, groups, FIELDS))
 
 
 def claims(df: DataFrame, groups: DataFrame, trusted: list[str]) -> DataFrame:
@@ -118,39 +145,47 @@ FIELDS = ["title", "original_title", "title_fr", "imdb_id", "runtime", "budget",
 
 
 def truth(claimed: DataFrame, rounds: int = ROUNDS, settle: float = SETTLE) -> DataFrame:
-    """(group, field, shown, support): the value with the greatest support of reliable sources.
+    """(group, field, value, shown, support): the value with the greatest support of reliable sources.
 
     Claims are first counted per group, field, value and source, so a value claimed by a third of
-    all rows is a few rows. Reliability starts at 0.8; it is the smoothed share of a source's claims
-    that the present truth bears out, per field. Only one number per source and field (a handful) is
-    broadcast; beyond 10,000 of them the join is left to the planner.
+    all rows is a few rows; they stay partitioned by group and field, so that a round is one pass
+    over the fields with more than one value, and only sums per source and field are shuffled.
+    Reliability starts at 0.8; it is the smoothed share of a source's claims that the present truth
+    bears out, per field. One number per source and field is broadcast; beyond 10,000 of them
+    the join is left to the planner.
     """
-    c = cut(claimed.groupBy("group", "field", "value", "source").agg(F.count("*").alias("n"), F.max("at").alias("at"), F.max_by("shown", _look()).alias("shown")))
-    trust = c.select("source", "field").distinct().withColumn("trust", F.lit(0.8))
-    trust = cut(trust)
+    cell = Window.partitionBy("group", "field")
+    c = claimed.groupBy("group", "field", "value", "source").agg(F.count("*").alias("n"), F.max("at").alias("at"), F.max_by("shown", _look()).alias("shown"))
+    c = c.repartition(shuffle_width(claimed.sparkSession), "group", "field").withColumn("open", F.min("value").over(cell) != F.max("value").over(cell)).withColumn("several", F.min("source").over(cell) != F.max("source").over(cell))
+    c = cut(c)
+    contested = cut(c.where("open"))
+    agreed = F.sum(F.when(~F.col("open") & F.col("several"), F.col("n")).otherwise(0))
+    trust = cut(c.groupBy("source", "field").agg(agreed.alias("agreed")).withColumn("trust", F.lit(0.8)))
     few = trust.count() <= 10_000
     best = Window.partitionBy("group", "field").orderBy(F.desc("support"), F.desc("at"), "value")
-    winner = None
-    for _ in range(rounds):
-        t = F.broadcast(trust) if few else trust
+
+    def winners(claims_: DataFrame, trust: DataFrame) -> DataFrame:
         odds = F.log(F.col("trust") / (1 - F.col("trust"))) + 2.0
-        votes = c.join(t, ["source", "field"]).groupBy("group", "field", "value").agg(F.sum(F.greatest(odds, F.lit(0.05)) * F.sqrt("n")).alias("support"), F.max("at").alias("at"), F.max_by("shown", _look()).alias("shown"))
-        winner = votes.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1).drop("rn")
-        won = c.join(winner.select("group", "field", F.col("value").alias("won")), ["group", "field"])
-        several = won.withColumn("m", F.size(F.collect_set("source").over(Window.partitionBy("group", "field")))).where(F.col("m") > 1)
-        new = several.groupBy("source", "field").agg(((F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)) + 4) / (F.sum("n") + 5)).alias("now"))
-        new = cut(trust.join(new, ["source", "field"], "left").select("source", "field", F.least(F.coalesce("now", "trust"), F.lit(0.98)).alias("trust"), F.abs(F.coalesce(F.col("now"), F.col("trust")) - F.col("trust")).alias("moved")))
+        t = trust.select("source", "field", "trust")
+        votes = claims_.join(F.broadcast(t) if few else t, ["source", "field"]).groupBy("group", "field", "value").agg(F.sum(F.greatest(odds, F.lit(0.05)) * F.sqrt("n")).alias("support"), F.max("at").alias("at"), F.max_by("shown", _look()).alias("shown"))
+        return votes.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1).drop("rn")
+
+    for _ in range(rounds):
+        won = contested.where("several").join(winners(contested, trust).select("group", "field", F.col("value").alias("won")), ["group", "field"])
+        new = won.groupBy("source", "field").agg(F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)).alias("ok"), F.sum("n").alias("all"))
+        z = lambda x: F.coalesce(x, F.lit(0))
+        now = F.when(z("agreed") + z("all") > 0, F.least((z("agreed") + z("ok") + 4) / (z("agreed") + z("all") + 5), F.lit(0.98))).otherwise(F.col("trust"))
+        new = cut(trust.join(new, ["source", "field"], "left").select("source", "field", "agreed", now.alias("trust"), F.abs(now - F.col("trust")).alias("moved")))
         moved = new.agg(F.max("moved")).first()[0] or 0.0
         trust = new.drop("moved")
         if moved < settle:
             break
-    return winner.select("group", "field", "shown", "support")
+    return winners(c, trust).select("group", "field", "value", "shown", "support")
 
 
 def survivors(df: DataFrame) -> DataFrame:
-    """One record per film: group, number of records, and the best supported value of each field."""
-    groups = cut(duplicate_groups(df))
-    best = truth(claims(df, groups, FIELDS))
+    """One record per film: the smallest rec_id, number of records, and the best supported value of each field."""
+    groups, best = merged_groups(df)
     wide = best.groupBy("group").pivot("field", FIELDS).agg(F.first("shown"))
     kinds = {"runtime": "int", "budget": "long", "revenue": "long", "release_date": "date"}
     size = groups.groupBy("group").agg(F.count("*").alias("records"))
