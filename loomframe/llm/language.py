@@ -31,7 +31,7 @@ LANGUAGES = ["de", "en", "es", "fr", "it", "ja", "ko", "ru"]
 SAMPLE_DOCUMENTS = 500
 SAMPLE_TITLES = 1500
 SAMPLE_QUERIES = 1500
-TERMS_MAX = 2000  # genre and keyword terms that count as borrowed
+TERM_FILMS = 10_000  # a genre or keyword term counts as borrowed if one of so many films has it; so there are at most as many times the terms of a film
 
 ORDER = 4  # longest n-gram: a context of three bytes and the byte itself
 SEGMENT_BITS = 24.0  # least that a segment must save against its surroundings
@@ -168,6 +168,7 @@ class Model:
                 every, total = np.unique(np.concatenate([g for g, _ in got]), return_inverse=True)
                 times = np.bincount(total, weights=np.concatenate([c for _, c in got]))
                 grams = every[times > 1]
+                got = [(g[k_], c[k_]) for g, c in got for k_ in (np.isin(g, grams, assume_unique=True),)]  # nor does it count in its context
             else:
                 grams = np.unique(np.concatenate([g for g, _ in got]))
             seen = np.zeros((len(grams), n))
@@ -181,6 +182,8 @@ class Model:
             ctxs = grams >> np.uint32(8)
             tot, kinds = np.zeros((len(grams), n)), np.zeros((len(grams), n))
             for i, (ctx, t, d) in whole.items():
+                if not len(ctx):
+                    continue
                 at = np.minimum(np.searchsorted(ctx, ctxs), len(ctx) - 1)
                 ok = ctx[at] == ctxs
                 tot[ok, i], kinds[ok, i] = t[at[ok]], d[at[ok]]
@@ -198,6 +201,8 @@ class Model:
                 keys = self.lookup[k - 1].keys
                 out = np.zeros((len(keys), n), np.float32)
                 for i, (ctx, t, d) in whole.items():
+                    if not len(ctx):
+                        continue
                     at = np.minimum(np.searchsorted(ctx, keys), len(ctx) - 1)
                     ok = ctx[at] == keys
                     out[ok, i] = -np.log2(d[at[ok]] / (t[at[ok]] + d[at[ok]]))
@@ -412,9 +417,9 @@ def train(documents: DataFrame, films: DataFrame, queries: DataFrame) -> Model:
     docs = _sample(documents, "text", label_column(F.col("lang")), SAMPLE_DOCUMENTS).withColumn("kind", F.lit("d"))
     titles = _sample(films, "original_title", label_column(F.col("original_language")), SAMPLE_TITLES).withColumn("kind", F.lit("t"))
     asks = _sample(queries, "query_text", label_column(F.col("lang")), SAMPLE_QUERIES).withColumn("kind", F.lit("q"))
-    terms = films.select(F.explode(F.concat(F.coalesce("genres", F.array()), F.coalesce("keywords", F.array()))).alias("text")).groupBy("text").count()
-    terms = terms.orderBy(F.desc("count"), "text").limit(TERMS_MAX).select(F.lit("").alias("lang"), "text", F.lit("k").alias("kind"))
-    rows = docs.unionByName(titles).unionByName(asks).unionByName(terms).collect()  # at most 8 x (500 + 1500 + 1500) + 2000 rows
+    terms = films.select(F.explode(F.array_distinct(F.concat(F.coalesce("genres", F.array()), F.coalesce("keywords", F.array())))).alias("text")).groupBy("text").count()
+    terms = terms.where(F.col("count") * TERM_FILMS >= films.count()).select(F.lit("").alias("lang"), "text", F.lit("k").alias("kind"))
+    rows = docs.unionByName(titles).unionByName(asks).unionByName(terms).collect()  # at most 8 x (500 + 1500 + 1500) rows and the terms
     rows = sorted((r for r in rows if r["kind"] == "k" or in_script(r["text"], r["lang"])), key=lambda r: (r["kind"], r["lang"], r["text"]))
     borrowed = [r["text"] for r in rows if r["kind"] == "k" and r["text"]]
     base: dict[str, list[str]] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import entities, language, lookalikes, neighbours, packing, splitting, survivors, tokenize
-from loomframe.session import table
+from loomframe.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,11 +69,22 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     view = f.select(F.lit("films.overview_fr").alias("field"), "row_id", F.col("overview_fr").alias("text"), F.lit("fr").alias("code"))
     query = asked.select(F.lit("rag_queries.query_text").alias("field"), F.col("id").alias("row_id"), F.col("query_text").alias("text"), language.label_column(F.col("lang")).alias("code"))
     rows = title.unionByName(query).where(F.length(F.trim("text")) > 0)
-    short = language.label_texts(rows.select("text").distinct(), model)
-    got = rows.join(short, "text").select("field", "row_id", "code", "langs", "segments")
-    long = view.where(F.length(F.trim("text")) > 0).select("row_id", "text")
-    named = language.label_texts(long.select("text").distinct(), model)
-    return got.unionByName(long.join(named, "text").select(F.lit("films.overview_fr").alias("field"), "row_id", F.lit("fr").alias("code"), "langs", "segments"))
+    got = _with_labels(rows, model).select("field", "row_id", "code", "langs", "segments")
+    long = view.where(F.length(F.trim("text")) > 0)
+    return got.unionByName(_with_labels(long, model).select("field", "row_id", "code", "langs", "segments"))
+
+
+HOT_TEXTS = 1000  # most texts that are joined by broadcast, each held by a thousandth of the rows or more
+
+
+def _with_labels(rows: DataFrame, model) -> DataFrame:  # noqa: ANN001
+    """Every row with the labels of its text; a text is labelled once, one of very many rows goes to them by broadcast."""
+    counts = cut(rows.groupBy("text").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    named = cut(language.label_texts(counts.select("text"), model))
+    hot = F.broadcast(counts.where(F.col("n") > max(100_000, total // HOT_TEXTS)).select("text"))
+    often = rows.join(F.broadcast(named.join(hot, "text", "left_semi")), "text")
+    return often.unionByName(rows.join(hot, "text", "left_anti").join(named, "text"))
 
 
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
