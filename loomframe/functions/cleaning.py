@@ -1,4 +1,4 @@
-"""Cleaning and normalising as Column functions (FUN-01..FUN-27, 33, 35, 36, 38..41).
+"""Cleaning and normalising as Column functions (FUN-01..24, 27, 28, 33, 35..41).
 
 Every function tolerates nulls and malformed input: it gives null or the default, never an error.
 """
@@ -209,6 +209,12 @@ def looks_french(c: Column, terms: list[str], stopwords: list[str]) -> Column:
     return F.coalesce(c.rlike("[àâäçéèêëîïôöùûüÿœ]") | term | (hits >= 2), F.lit(False))
 
 
+def language_gate(text: Column, lang: Column, confidence: Column, least: float = 0.7) -> Column:
+    """FUN-37: a detector's fr or en where a text has two words or more and the confidence is at least `least`, else mixed."""
+    words = F.size(F.filter(F.split(strip(text), r"(?U)\s+"), lambda w: w != ""))
+    return F.when((words >= 2) & (confidence >= least) & lang.isin("fr", "en"), lang).otherwise(F.lit("mixed"))
+
+
 def strip_noise(c: Column) -> Column:
     """FUN-38: words of two letters or more that are not noise; the query itself where none is left."""
     words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: (F.length(w) > 1) & ~w.isin(NOISE_WORDS))

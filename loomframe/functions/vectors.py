@@ -24,3 +24,8 @@ def quality(vec: Column, dim: int, tolerance: float = 0.01) -> Column:
     """RET-14: dimension, unit norm and not zero."""
     n = norm(vec)
     return F.struct((F.size(vec) == dim).alias("dimension"), (F.abs(n - 1) <= tolerance).alias("unit"), (n > 0).alias("nonzero"))
+
+
+def consistent(single: Column, batch: Column, least: float = 0.99) -> Column:
+    """RET-14: whether a vector made alone and one made in a batch agree."""
+    return F.coalesce(cosine(single, batch) >= least, F.lit(False))

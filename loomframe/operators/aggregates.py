@@ -68,6 +68,25 @@ def coverage(df: DataFrame, condition: Column) -> DataFrame:
     return df.agg(n.alias("total"), F.count_if(condition).alias("covered"), F.when(n > 0, F.round(100.0 * F.count_if(condition) / n, 2).cast("double")).otherwise(0.0).alias("pct"))
 
 
+def success_rate(failed: Column, total: Column, empty: float = 0.0) -> Column:
+    """AGG-18: share in percent of what did not fail; of nothing it is `empty` (loaders take 100, pipelines 0)."""
+    return F.when(total > 0, F.round(100.0 * (1 - failed / total), 2).cast("double")).otherwise(F.lit(empty))
+
+
+LOADED = ["inserted", "updated", "skipped", "errors"]
+
+
+def partial_stats(rows: DataFrame, outcome: str, by: list[str]) -> DataFrame:
+    """AGG-19, partial: counts of each outcome and the error messages, per batch."""
+    return rows.groupBy(*by).agg(*[F.count_if(F.col(outcome) == k).alias(k) for k in LOADED])
+
+
+def merge_stats(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """AGG-19, final: sums of partial counts; merging merged ones gives the same as counting all rows at once."""
+    n = sum((F.col(k) for k in LOADED[1:]), F.col(LOADED[0]))
+    return parts.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in LOADED]).withColumn("total", n).withColumn("success_rate", success_rate(F.col("errors"), F.col("total"), 100.0))
+
+
 def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """AGG-20: exact percentiles; for unbounded groups see latency_sketch."""
     return df.where(F.col(value).isNotNull()).groupBy(by).agg(

@@ -47,6 +47,33 @@ def validated(df: DataFrame, rules: dict) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 
+def staged_run(raw: DataFrame, keep, analytics: dict[str, Callable[[DataFrame], DataFrame]], normalise: Callable[[DataFrame], DataFrame], export: Callable[[DataFrame], int] | None) -> dict:  # noqa: ANN001
+    """ORC-02: extract and count, analytics, normalise, export; a failing stage ends the run and is counted.
+
+    Each stage reads the same view of the source; `export` gives the rows it wrote, None skips it.
+    """
+    out: dict = {"total_rows": 0, "filtered": 0, "normalized": 0, "exported": 0, "errors": 0, "analytics": {}}
+    try:
+        n = raw.agg(F.count("*").alias("all"), F.count_if(keep).alias("kept")).first()
+        out |= {"total_rows": n["all"], "filtered": n["kept"]}
+        view = raw.where(keep)
+        out["analytics"] = {name: run(view).count() for name, run in analytics.items()}
+        ready = normalise(view)
+        out["normalized"] = ready.count()
+        if export is not None:
+            out["exported"] = export(ready)
+    except Exception as e:  # noqa: BLE001  any failure ends the run
+        out |= {"errors": 1, "error": str(e)[:500]}
+    return out
+
+
+def retained(df: DataFrame, ts: str, before, name: str) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """ORC-06: rows from `before` on (and those without a time), and a log row of how many were older."""
+    old = F.coalesce(F.col(ts) < before, F.lit(False))
+    log = df.where(old).agg(F.lit(name).alias("table_name"), F.count("*").alias("deleted"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"))
+    return df.where(~old), log
+
+
 def bundle(raw: DataFrame, film: str, children: dict[str, str]) -> dict[str, DataFrame]:
     """ORC-05: one table of films and one exploded table per child array, references first; no row loop."""
     out = {name: raw.select(film, F.explode(column).alias("item")).select(film, "item.*") for name, column in children.items()}

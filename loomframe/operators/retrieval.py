@@ -122,6 +122,19 @@ def lexeme_index(df: DataFrame, key: str, fields: list[tuple[Column, str, str]])
     return df.select(key, F.explode(F.flatten(F.array(*cells))).alias("x")).groupBy(key, "x.lexeme", "x.weight").agg(F.count("*").alias("n"))
 
 
+def film_index(films: DataFrame, key: str = "tmdb_id") -> DataFrame:
+    """RET-03: (key, side, lexeme, weight, n) in two languages: A titles and director, B cast, C overview and keywords.
+
+    Names and keywords are not stemmed. The French title falls back to the title.
+    """
+    arr = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    fr = F.coalesce(F.nullif("title_fr", F.lit("")), F.col("title"))
+    names = [(F.col("director"), "A", "simple"), (arr("cast"), "B", "simple"), (arr("keywords"), "C", "simple")]
+    sides = {"fr": [(fr, "A", "fr"), (arr("alternative_titles"), "A", "fr"), *names, (F.col("overview_fr"), "C", "fr")], "en": [(F.col("title"), "A", "en"), *names, (F.col("overview"), "C", "en")]}
+    parts = [lexeme_index(films, key, fields).withColumn("side", F.lit(side)) for side, fields in sides.items()]
+    return parts[0].unionByName(parts[1]).select(key, "side", "lexeme", "weight", "n")
+
+
 def query_lexemes(queries: DataFrame, query: str, text: str, stems: list[str]) -> DataFrame:
     """SET-04: the union of the lexemes of all configurations."""
     arrays = [F.transform(words(F.col(text)), STEMS[s]) for s in stems]
@@ -129,13 +142,16 @@ def query_lexemes(queries: DataFrame, query: str, text: str, stems: list[str]) -
 
 
 def lexeme_search(index: DataFrame, lexemes: DataFrame, key: str, query: str, k: int = 20) -> DataFrame:
-    """RET-04: rows holding any lexeme, ranked by cover density over weights A and B only.
+    """RET-04: rows holding any lexeme, ranked by cover density over weights A and B only; `source` is the stronger side.
 
     In a query of alternatives every occurrence is a cover of its own, so the density is the sum
-    of the weights of all occurrences. Rows matched by weight C only score 0.
+    of the weights of all occurrences. Rows matched by weight C only score 0. An index without sides has one.
     """
     w = F.create_map(*[F.lit(x) for g, v in WEIGHTS.items() if g in "AB" for x in (g, v)])
-    hit = index.join(lexemes, "lexeme").groupBy(query, key).agg(F.sum(F.col("n") * F.coalesce(F.try_element_at(w, F.col("weight")), F.lit(0.0))).alias("score"))
+    worth = F.col("n") * F.coalesce(F.try_element_at(w, F.col("weight")), F.lit(0.0))
+    side = F.col("side") if "side" in index.columns else F.lit("en")
+    each = lambda s: F.coalesce(F.sum(F.when(F.col("_side") == s, worth)), F.lit(0.0))
+    hit = index.withColumn("_side", side).join(lexemes, "lexeme").groupBy(query, key).agg(F.sum(worth).alias("score"), F.when(each("fr") >= each("en"), "fr").otherwise("en").alias("source"))
     o = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return hit.withColumn("rank", F.row_number().over(o)).where(F.col("rank") <= k)
 
@@ -173,6 +189,18 @@ def trusted(hits: DataFrame, score: str = "rerank", floor: float = -5.0) -> Data
     return hits.where(F.col(score).isNull() | (F.col(score) >= floor))
 
 
+def answers(queries: DataFrame, hits: DataFrame, query: str, key: str, refusal: str, score: str = "rerank", floor: float = -5.0) -> DataFrame:
+    """RET-10: the trusted documents of each query in order; where none is left, a fixed refusal and no document."""
+    kept = trusted(hits, score, floor).groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("documents"))
+    none = F.array().cast(dict(kept.dtypes)["documents"])
+    return queries.select(query).distinct().join(kept, query, "left").select(query, F.coalesce("documents", none).alias("documents"), F.when(F.col("documents").isNull(), F.lit(refusal)).alias("refusal"))
+
+
+def prefixed(text: Column, kind: str) -> Column:
+    """RET-12: the mark that an asymmetric embedder wants before a query or a passage; blanks stay blank."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit("")).otherwise(F.concat(F.lit(kind + ": "), text))
+
+
 def hashing_embedder(dim: int):  # noqa: ANN201
     """RET-12: a deterministic stand-in for an embedding model: signed word hashes, L2-normalised; blanks give zeros."""
     @F.pandas_udf("array<float>")
@@ -183,6 +211,8 @@ def hashing_embedder(dim: int):  # noqa: ANN201
             for w in (t or "").lower().split():
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
                 v[h % dim] += 1 if h >> 63 else -1
+            if (t or "").strip() and not v.any():  # its words cancel out
+                v[len(t) % dim] = 1.0
             n = np.linalg.norm(v)
             out.append((v / n if n else v).astype(np.float32).tolist())
         return pd.Series(out)

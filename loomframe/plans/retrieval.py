@@ -82,28 +82,36 @@ ASK = "the drowned boy and the widows of the lighthouse"
 _V = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, vote_count DESC NULLS LAST) AS _rn FROM films) WHERE _rn = 1)"
 _STEM = "CASE WHEN regexp_matches(w, '[^ea]ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '[^aeo]es$') THEN regexp_replace(w, 's$', '') WHEN regexp_matches(w, '[^us]s$') THEN regexp_replace(w, 's$', '') ELSE w END"
 _WORDS = "unnest(regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}_\\p{{M}}]+'))"
-LEX = f"""{_V}, w AS (SELECT tmdb_id, {_WORDS.format('title')} AS w, 1.0 AS x FROM f WHERE vote_count >= 5 UNION ALL SELECT tmdb_id, {_WORDS.format('overview')}, 0.0 FROM f WHERE vote_count >= 5),
-x AS (SELECT tmdb_id, {_STEM} AS lexeme, x FROM w), q AS (SELECT DISTINCT {_STEM} AS lexeme FROM (SELECT unnest(string_split('{ASK}', ' ')) AS w) WHERE length(w) > 1),
-lx AS (SELECT tmdb_id, sum(x) AS score, row_number() OVER (ORDER BY sum(x) DESC, tmdb_id) AS rank FROM x JOIN q USING (lexeme) GROUP BY 1)"""
+_Y = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 's$', ''), 'r$', ''), 'e$', ''), 'é$', '')"
+_STEM_FR = f"CASE WHEN length(w) < 6 THEN w WHEN w LIKE '%aux' THEN regexp_replace(w, 'aux$', 'al') WHEN w LIKE '%x' THEN regexp_replace(w, 'x$', '') WHEN right({_Y}, 1) = left(right({_Y}, 2), 1) AND length({_Y}) > 1 THEN left({_Y}, length({_Y}) - 1) ELSE {_Y} END"
+_FIELDS = [("fr", "coalesce(nullif(title_fr, ''), title)", "A", "fr"), ("fr", "array_to_string(alternative_titles, ' ')", "A", "fr"), ("fr", "director", "A", "w"), ("fr", "array_to_string(keywords, ' ')", "C", "w"), ("fr", "overview_fr", "C", "fr"), ("en", "title", "A", "en"), ("en", "director", "A", "w"), ("en", "array_to_string(keywords, ' ')", "C", "w"), ("en", "overview", "C", "en")]
+_STEMS = {"fr": _STEM_FR, "en": _STEM, "w": "w"}
+INDEX = f"""{_V}, dr AS (SELECT tmdb_id, max(director) AS director FROM aggregated_films WHERE director IS NOT NULL GROUP BY 1), fd AS (SELECT f.*, director FROM f LEFT JOIN dr USING (tmdb_id)),
+ix AS (SELECT tmdb_id, vote_count, side, weight, lexeme, count(*) AS n FROM (""" + " UNION ALL ".join(f"SELECT tmdb_id, vote_count, '{side}' AS side, '{wt}' AS weight, {_STEMS[st]} AS lexeme FROM (SELECT tmdb_id, vote_count, {_WORDS.format(x)} AS w FROM fd)" for side, x, wt, st in _FIELDS) + ") GROUP BY ALL)"
+LEX = f"""{INDEX}, qw AS (SELECT unnest(string_split('{ASK}', ' ')) AS w), q AS (SELECT DISTINCT unnest([w, {_STEM}, {_STEM_FR}]) AS lexeme FROM qw WHERE length(w) > 1),
+lx AS (SELECT tmdb_id, sum(CASE weight WHEN 'A' THEN n ELSE 0 END)::DOUBLE AS score, CASE WHEN sum(CASE WHEN weight = 'A' AND side = 'fr' THEN n ELSE 0 END) >= sum(CASE WHEN weight = 'A' AND side = 'en' THEN n ELSE 0 END) THEN 'fr' ELSE 'en' END AS source,
+row_number() OVER (ORDER BY sum(CASE weight WHEN 'A' THEN n ELSE 0 END) DESC, tmdb_id) AS rank FROM ix JOIN q USING (lexeme) WHERE vote_count >= 5 GROUP BY 1)"""
+
+
+def _index(s, d, votes=0) -> DataFrame:  # noqa: ANN001
+    who = table(s, d, "aggregated_films").where(F.col("director").isNotNull()).groupBy("tmdb_id").agg(F.max("director").alias("director"))
+    f = latest(table(s, d, "films")).where(F.coalesce("vote_count", F.lit(0)) >= votes)
+    return r.film_index(f.join(who, "tmdb_id", "left").withColumn("cast", F.lit(None).cast("array<string>")))
 
 
 def _lexeme_hits(s, d, k=20) -> DataFrame:  # noqa: ANN001
-    f = latest(table(s, d, "films")).where(F.col("vote_count") >= 5)
-    index = r.lexeme_index(f, "tmdb_id", [(F.col("title"), "A", "en"), (F.col("overview"), "C", "en")])
     ask = s.createDataFrame([(1, ASK)], "query int, text string").withColumn("text", strip_noise(F.col("text")))
-    return r.lexeme_search(index, r.query_lexemes(ask, "query", "text", ["en"]), "tmdb_id", "query", k)
+    return r.lexeme_search(_index(s, d, 5), r.query_lexemes(ask, "query", "text", ["simple", "en", "fr"]), "tmdb_id", "query", k)
 
 
-@query("ret04_lexeme_search", f"WITH {LEX} SELECT tmdb_id, score, rank FROM lx WHERE rank <= 20")
+@query("ret04_lexeme_search", f"WITH {LEX} SELECT tmdb_id, score, source, rank FROM lx WHERE rank <= 20")
 def _(s, d):
-    return _lexeme_hits(s, d).select("tmdb_id", "score", "rank")
+    return _lexeme_hits(s, d).select("tmdb_id", "score", "source", "rank")
 
 
-@query("ret03_lexeme_index")
+@query("ret03_lexeme_index", f"WITH {INDEX} SELECT tmdb_id, side, weight, lexeme, n FROM ix")
 def _(s, d):
-    f = latest(table(s, d, "films"))
-    fr = F.when(F.coalesce("title_fr", F.lit("")) != "", F.col("title_fr")).otherwise(F.col("title"))
-    return r.lexeme_index(f, "tmdb_id", [(fr, "A", "fr"), (F.col("title"), "A", "en"), (F.col("overview_fr"), "C", "fr"), (F.col("overview"), "C", "en"), (F.array_join("keywords", " "), "C", "simple")])
+    return _index(s, d).select("tmdb_id", "side", "weight", "lexeme", "n")
 
 
 _FUSE = f"""WITH {Q1}, h AS (SELECT id, source_id AS tmdb_id, {C} AS s FROM rag_documents, q WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 AND vote_count >= 5),
@@ -131,23 +139,44 @@ def _(s, d):
     return b.orderBy(F.desc("final"), "tmdb_id").limit(5).select("tmdb_id", F.round("final", 8).alias("final"))
 
 
-@query("ret10_trusted", "SELECT count(*) AS n FROM rag_queries WHERE top_similarity_score IS NULL OR top_similarity_score >= 0.5")
+@query("ret10_answers", """WITH q AS (SELECT DISTINCT id, session_id, top_similarity_score FROM rag_queries WHERE session_id IS NOT NULL)
+SELECT session_id, count(*) FILTER (WHERE top_similarity_score IS NULL OR top_similarity_score >= 0.5) AS documents, CASE WHEN count(*) FILTER (WHERE top_similarity_score IS NULL OR top_similarity_score >= 0.5) = 0 THEN 'nothing reliable' END AS refusal FROM q GROUP BY 1""")
 def _(s, d):
-    return r.trusted(table(s, d, "rag_queries"), "top_similarity_score", 0.5).agg(F.count("*").alias("n"))
+    q = table(s, d, "rag_queries").where(F.col("session_id").isNotNull()).select("session_id", F.col("id").alias("doc"), F.col("top_similarity_score").alias("rerank"), F.lit(1).alias("rank")).distinct()
+    return r.answers(q, q, "session_id", "doc", "nothing reliable", floor=0.5).select("session_id", F.size("documents").cast("long").alias("documents"), "refusal")
 
 
-@query("ret12_embed_texts")
+@query("ret12_embed_texts", """SELECT kind, CASE WHEN trim(coalesce(t, ''), ' ') = '' THEN 0.0 ELSE 1.0 END AS norm, count(*) AS n FROM (SELECT 'passage' AS kind, title AS t FROM films UNION ALL SELECT 'query', query_text FROM rag_queries) GROUP BY 1, 2""")
 def _(s, d):
     e = r.hashing_embedder(64)
-    return table(s, d, "films").select("id", F.round(v.norm(e(F.coalesce("title", F.lit("")))), 4).alias("norm")).groupBy("norm").agg(F.count("*").alias("n"))
+    t = table(s, d, "films").select(F.lit("passage").alias("kind"), F.col("title").alias("t")).unionByName(table(s, d, "rag_queries").select(F.lit("query").alias("kind"), F.col("query_text").alias("t")))
+    text = F.when(F.col("kind") == "query", r.prefixed(F.col("t"), "query")).otherwise(r.prefixed(F.col("t"), "passage"))
+    return t.select("kind", F.round(v.norm(e(text)), 3).alias("norm")).groupBy("kind", "norm").agg(F.count("*").alias("n"))
+
+
+@query("ret02_retrieve", VEC.format(votes=5) + " SELECT id, round(s, 6) AS similarity FROM h WHERE s >= 0.2 ORDER BY s DESC, id LIMIT 10")
+def _(s, d):
+    return _hits(s, d, 10, 0.2, 5).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("ret09_rerank", VEC.format(votes=1) + ", t AS (SELECT * FROM h WHERE s >= 0.1 ORDER BY s DESC, id LIMIT 60), z AS (SELECT t.id, length(content) AS n FROM t JOIN rag_documents d USING (id) WHERE length(content) >= 100) SELECT id, n::DOUBLE AS rerank, row_number() OVER (ORDER BY n DESC, id) AS rank FROM z ORDER BY 3 LIMIT 10")
+def _(s, d):
+    hits = _hits(s, d, 60, 0.1, 1).select("id", F.lit(1).alias("query"), "content")
+    return r.rerank(hits, F.length("content").cast("double"), ["query"], "id", 100.0, 10).select("id", "rerank", "rank")
+
+
+@query("ret14_consistent", "SELECT count(*) AS n, count(*) FILTER (WHERE list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: x * 2)) >= 0.99) AS ok FROM rag_documents WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0")
+def _(s, d):
+    e = table(s, d, "rag_documents").where((F.size("embedding") == 64) & (v.norm(F.col("embedding")) > 0))
+    return e.agg(F.count("*").alias("n"), F.count_if(v.consistent(F.col("embedding"), F.transform("embedding", lambda x: x * 2))).alias("ok"))
 
 
-_P = "p AS (SELECT a.vec_id AS query, a.label, b.vec_id AS key, b.label AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, CAST(key AS VARCHAR)) AS rank FROM p)"
+_P = "p AS (SELECT a.vec_id AS query, a.label, b.vec_id AS key, b.label AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, CAST(key AS VARCHAR)) AS rank FROM p)"
 
 
 def _probes(s, d, k) -> DataFrame:  # noqa: ANN001
     e = table(s, d, "embeddings")
-    t = r.batch_topk(e, e.where(F.col("vec_id") % 25 == 0).select(F.col("vec_id").alias("query"), "embedding"), "vec_id", "embedding", 64, k)
+    t = r.batch_topk(e, e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query"), "embedding"), "vec_id", "embedding", 64, k)
     lab = lambda c: e.select(F.col("vec_id").cast("string").alias(c), F.col("label").alias(f"l_{c}"))
     return t.join(lab("query"), "query").join(lab("key"), "key")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -52,35 +51,42 @@ def deliver(df: DataFrame, take: Callable[[list[dict]], None], size: int = 1000)
 
 
 class Progress:
-    """SNK-11: small named states with their time, for resuming a batch job."""
+    """SNK-11: small named states with their time, in any folder that the session's file systems reach."""
 
-    def __init__(self, root: str) -> None:
-        self.root = root
-        os.makedirs(root, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.jvm, self.root = spark.sparkContext._jvm, root
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
 
-    def _path(self, name: str) -> str:
-        return os.path.join(self.root, re.sub(r"[/\\]", "_", name) + ".json")
+    def _at(self, name: str):  # noqa: ANN202
+        path = self.jvm.org.apache.hadoop.fs.Path(self.root, re.sub(r"[/\\]", "_", name) + ".json")
+        return path.getFileSystem(self.conf), path
 
     def save(self, name: str, data: dict) -> None:
-        tmp = self._path(name) + ".tmp"
-        with open(tmp, "w", encoding="utf-8") as f:
-            json.dump({"timestamp": datetime.now(UTC).isoformat(), "data": data}, f)
-        os.replace(tmp, self._path(name))
+        fs, path = self._at(name)
+        text = json.dumps({"timestamp": datetime.now(UTC).isoformat(), "data": data})
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
     def load(self, name: str) -> dict | None:
-        if not self.exists(name):
+        fs, path = self._at(name)
+        if not fs.exists(path):
             return None
-        with open(self._path(name), encoding="utf-8") as f:
-            return json.load(f)["data"]
+        got = fs.open(path)
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(got, "UTF-8"))["data"]
+        finally:
+            got.close()
 
     def delete(self, name: str) -> bool:
-        if not self.exists(name):
-            return False
-        os.remove(self._path(name))
-        return True
+        fs, path = self._at(name)
+        return bool(fs.delete(path, False))
 
     def exists(self, name: str) -> bool:
-        return os.path.exists(self._path(name))
+        fs, path = self._at(name)
+        return bool(fs.exists(path))
 
 
 def stream_parquet(spark: SparkSession, source: str, schema: str, sink: str, state: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,12 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> D
     return s.select(key, F.col("w.start").alias("start"), "last", "n")
 
 
+def recent(messages: DataFrame, session: str, order: list[str], n: int = 10) -> DataFrame:
+    """STR-01: the last n messages of each session; cut to n within each task before anything is gathered."""
+    w = Window.partitionBy(session).orderBy(*[F.desc(c) for c in order])
+    return messages.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def _bucket(times: list[float], tokens: float, last: float, capacity: float, per_second: float) -> tuple[list[bool], float, float]:
     out = []
     for t in times:

@@ -95,7 +95,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e/films")).count() == 2
     got = []
     assert writers.deliver(df, got.append, 1) == 2 and len(got) == 2
-    p = writers.Progress(str(tmp_path / "s"))
+    p = writers.Progress(spark, str(tmp_path / "s"))
     p.save("a/b", {"last": 3})
     assert p.load("a/b") == {"last": 3} and p.delete("a/b") and p.load("a/b") is None and not p.delete("a/b")
 
