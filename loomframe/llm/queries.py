@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import entities, language, lookalikes, neighbours, packing, splitting, survivors, tokenize
-from loomframe.session import cut, table
+from loomframe.session import cut, fresh_folder, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,41 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where(F.col("chunk_index") == 0).select("id")
 
 
+def _whole(pieces: DataFrame, texts: DataFrame) -> DataFrame:
+    """Per text: its length as the pieces cover it, and whether they fit, follow each other, overlap and say what it says."""
+    w = neighbours.Window.partitionBy("id").orderBy("chunk_index")
+    p = pieces.join(texts, "id").withColumn("last", F.lag("end").over(w))
+    near = F.col("last").isNull() | ((F.col("start") < F.col("last")) & (F.col("last") - F.col("start") <= 240) & (F.col("end") > F.col("last")))
+    says = F.col("piece") == F.expr("substring(content, cast(start + 1 as int), cast(end - start as int))")
+    return p.groupBy("id").agg(F.max("end").alias("chars"), (F.max(F.length("piece")) <= 1200).alias("short"), (F.bool_and(near) & (F.min("start") == 0)).alias("follows"), F.bool_and(says).alias("says"), (F.max("chunk_total") == F.max("chunk_index") + 1).alias("counted"))
+
+
+def p4_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "rag_documents")
+    return _whole(p4_pieces(spark, d), docs.select("id", "content"))
+
+
+def p4_ranges_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with ranges of 3,000 characters, so that borders and prefix sums are at work in most texts."""
+    docs = table(spark, d, "rag_documents")
+    return _whole(splitting.split_texts(docs, "id", "content", range_chars=3000), docs.select("id", "content"))
+
+
+def p4_files_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All contents as large files, split by byte ranges of 64 KB: characters covered, and pieces that break a rule."""
+    path = fresh_folder(spark, "contents")
+    table(spark, d, "rag_documents").where(F.col("content").isNotNull()).select("content").write.text(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    names = [f.getPath().toString() for f in found if f.getPath().getName().startswith("part-")]
+    p = splitting.split_files(spark, names, range_bytes=1 << 16)
+    w = neighbours.Window.partitionBy("id").orderBy("chunk_index")
+    p = p.withColumn("last", F.lag("end").over(w))
+    gap = F.col("last").isNotNull() & ((F.col("start") >= F.col("last")) | (F.col("last") - F.col("start") > 240))
+    per = p.groupBy("id").agg(F.max("end").alias("chars"), F.count_if(F.length("piece") != F.col("end") - F.col("start")).alias("wrong"), F.count_if(F.length("piece") > 1200).alias("long"), F.count_if(gap).alias("gaps"))
+    return per.agg(F.sum("chars").alias("chars"), F.sum("wrong").alias("wrong_length"), F.sum("long").alias("too_long"), F.sum("gaps").alias("gaps"))
+
+
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "aggregated_films"))
 
@@ -131,7 +166,7 @@ def _reading_sql() -> str:
     return f"nfc_normalize(translate(translate({text}, '{two(wide, 0)}', '{two(wide, 1)}'), '{two(seen, 0)}', '{two(seen, 1)}'))"
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_whole": p4_whole, "p4_ranges_whole": p4_ranges_whole, "p4_files_whole": p4_files_whole, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {
     "p1_found": """WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM rag_documents WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 p AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id),
@@ -139,5 +174,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rn FROM
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k WHERE rn <= 5 AND s >= 0.85""",
     "p9_found": f"""WITH k AS (SELECT doc_id, text, {_reading_sql()} AS seen FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.seen = b.seen AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(a.seen, E' \\n\\r') <> ''""",
+    "p4_whole": "SELECT id, length(content) AS chars, true AS short, true AS follows, true AS says, true AS counted FROM rag_documents WHERE length(content) > 1200",
+    "p4_ranges_whole": "SELECT id, length(content) AS chars, true AS short, true AS follows, true AS says, true AS counted FROM rag_documents WHERE length(content) > 1200",
+    "p4_files_whole": "SELECT CAST(sum(length(content) + 1) AS BIGINT) AS chars, 0 AS wrong_length, 0 AS too_long, 0 AS gaps FROM rag_documents WHERE content IS NOT NULL",
     "p4_found": "SELECT id FROM rag_documents WHERE length(content) > 1200",
 }

@@ -12,6 +12,7 @@ pieces once per row; an empty table gives no rows. Offsets and lengths count cod
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.session import cut
+from loomframe.session import cut, shuffle_width
 
 # Boundaries, strongest first: blank line, line end, sentence end, clause end, white space.
 BOUNDARIES = [
@@ -120,6 +121,18 @@ def _spans_of_range(part: str, base: int, at: int, upto: int, last: bool, limit:
     return [(base + s, base + e, part[s:e]) for s, e in cut_region(part, begin, end, limit, overlap, at == 0)]
 
 
+def _ranges(size: int, halo: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = -(-len(text) // size)
+                bases = [max(0, r * size - halo) for r in range(n)]
+                parts = [text[base : (r + 1) * size] for r, base in enumerate(bases)]
+                yield pa.record_batch([pa.array([i] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array([n] * n, pa.int64()), pa.array(bases, pa.int64()), pa.array(parts, pa.string())], ["id", "r", "n", "base", "part"])
+
+    return run
+
+
 def _split(limit: int, overlap: int, size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,17 +159,16 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = 1200, ov
     """(id, chunk_index, chunk_total, start, end, piece) of every text of more than `limit` code points.
 
     A text of up to `range_chars` is one range, numbered where it is. Longer ones become one row
-    per range (with a halo of limit + overlap before it); only their pieces meet by (id, range).
+    per range (with a halo of limit + overlap before it), in one pass over the text; only their pieces
+    meet by (id, range). Range borders are cuts, so another `range_chars` may cut a longer text elsewhere.
     """
     halo = limit + overlap
     t = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > limit)
-    n = F.ceil(F.length("text") / F.lit(range_chars))
     run = _split(limit, overlap, range_chars)
     one = t.where(F.length("text") <= range_chars).select("id", F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("base"), "text")
     one = one.mapInArrow(run, PIECES).select("id", F.col("seq").alias("chunk_index"), F.col("count").alias("chunk_total"), "start", "end", "piece")
-    big = t.where(F.length("text") > range_chars).withColumn("row", F.monotonically_increasing_id()).select(F.concat_ws("\u0000", "id", F.col("row").cast("string")).alias("id"), n.cast("long").alias("n"), "text")
-    big = big.select("id", "n", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("r")).withColumn("base", F.greatest(F.lit(0).cast("long"), F.col("r") * range_chars - halo))
-    big = big.select("id", "r", "n", "base", F.expr(f"substring(text, cast(base + 1 as int), cast((r + 1) * {range_chars} - base as int))").alias("part"))
+    big = t.where(F.length("text") > range_chars).withColumn("row", F.monotonically_increasing_id()).select(F.concat_ws("\u0000", "id", F.col("row").cast("string")).alias("id"), "text")
+    big = big.mapInArrow(_ranges(range_chars, halo), "id string, r long, n long, base long, part string")
     parts = cut(big.repartition("id", "r").mapInArrow(run, PIECES))
     many = _numbered(parts).withColumn("id", F.split_part("id", F.lit("\u0000"), F.lit(1)))
     return one.unionByName(many)
@@ -169,30 +181,70 @@ def _aligned(raw: bytes, i: int) -> int:
     return i
 
 
-def _split_file_ranges(limit: int, overlap: int, size: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def _open(path: str):  # noqa: ANN202
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    system, local = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system, local
+
+
+SPANS = T.StructType([T.StructField("id", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("range_no", "chars", "seq", "count", "start", "end", "byte_start", "byte_end")]])
+
+
+def _file_spans(limit: int, overlap: int, size: int):
+    """The boundary table of each byte range: spans in characters from the range's begin and in bytes of the file."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halo = 4 * (limit + overlap)
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in SPANS.names]
             for path, r, n, total in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                system, local = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+                system, local = _open(path)
                 base, upto = max(0, r * size - halo), min(total, (r + 1) * size + 4)
                 with system.open_input_file(local) as f:
                     raw = f.read_at(upto - base, base)
                 lead = _aligned(raw, 0) if base else 0
                 at, to = _aligned(raw, r * size - base), _aligned(raw, min(total, (r + 1) * size) - base)
-                part = raw[lead:to].decode("utf-8", "replace")
-                here = len(raw[lead:at].decode("utf-8", "replace"))
+                part = raw[lead:to].decode("utf-8", "surrogateescape")
+                here = len(raw[lead:at].decode("utf-8", "surrogateescape"))
                 window = limit // 2
                 begin = 0 if r == 0 else border(part, here, window)
                 end = len(part) if r == n - 1 else border(part, len(part), window)
                 spans = cut_region(part, begin, end, limit, overlap, r == 0)
+                points = sorted({x for span in spans for x in span})
+                byte, last, where = base + lead, 0, {}
+                for x in points:  # one pass from cut to cut
+                    byte += len(part[last:x].encode("utf-8", "surrogateescape"))
+                    last, where[x] = x, byte
                 for q, (s, e) in enumerate(spans):
-                    for o, v in zip(out, (path, r, end - begin, q, len(spans), s - begin, e - begin, part[s:e]), strict=True):
+                    for o, v in zip(out, (path, r, end - begin, q, len(spans), s - begin, e - begin, where[s], where[e]), strict=True):
                         o.append(v)
-            yield pa.record_batch([pa.array(o, pa.string() if k in (0, 7) else pa.int64()) for k, o in enumerate(out)], PIECES.names)
+            yield pa.record_batch([pa.array(o, pa.string() if k == 0 else pa.int64()) for k, o in enumerate(out)], SPANS.names)
+
+    return run
+
+
+def _emit(size: int):
+    """Pieces read by their byte offsets; neighbouring ones come out of one read."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, f, held, lo = None, None, b"", 0
+        for b in batches:
+            texts = []
+            for p, s, e in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
+                if p != path:
+                    if f is not None:
+                        f.close()
+                    system, local = _open(p)
+                    path, f, held, lo = p, system.open_input_file(local), b"", 0
+                if not lo <= s <= e <= lo + len(held):
+                    lo, held = s, f.read_at(max(size, e - s), s)
+                texts.append(re.sub("[\udc80-\udcff]", "\ufffd", held[s - lo : e - lo].decode("utf-8", "surrogateescape")))
+            yield pa.record_batch([*[b.column(k) for k in range(5)], pa.array(texts, pa.string())], ["id", "chunk_index", "chunk_total", "start", "end", "piece"])
+        if f is not None:
+            f.close()
 
     return run
 
@@ -200,21 +252,21 @@ def _split_file_ranges(limit: int, overlap: int, size: int):
 def split_files(spark: SparkSession, paths: list[str], limit: int = 1200, overlap: int = 120, range_bytes: int = 1 << 20) -> DataFrame:
     """Pieces of giant UTF-8 files without loading a whole one: each task reads one byte range and its halo.
 
-    Character offsets are found by a prefix sum of the ranges' lengths. Malformed bytes become
-    U+FFFD. Paths must be reachable by all executors; files within the limit give one piece.
+    First only boundaries are found, as characters and bytes; prefix sums over the ranges' lengths and
+    counts number them, then pieces are read by their byte offsets. Each malformed byte becomes U+FFFD.
+    Paths must be reachable by all executors; files within the limit give one piece, empty ones none.
     """
-    from pyarrow import fs
-
     rows = []
     for p in paths:
-        system, local = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
+        system, local = _open(p)
         total = system.get_file_info(local).size
         if total:
             rows.append((p, total))
     files = spark.createDataFrame(rows, "path string, total long").withColumn("n", F.ceil(F.col("total") / range_bytes))
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("r"), "n", "total").repartition("path", "r")
-    parts = cut(ranges.mapInArrow(_split_file_ranges(limit, overlap, range_bytes), PIECES))  # `ranges` holds the range's length
+    spans = cut(ranges.mapInArrow(_file_spans(limit, overlap, range_bytes), SPANS))
     w = Window.partitionBy("id").orderBy("range_no")
-    heads = parts.where(F.col("seq") == 0).select("id", "range_no", (F.sum("ranges").over(w) - F.col("ranges")).alias("chars"))
-    named = parts.join(heads, ["id", "range_no"]).withColumn("start", F.col("start") + F.col("chars")).withColumn("end", F.col("end") + F.col("chars")).drop("chars")
-    return _numbered(named)
+    heads = spans.where(F.col("seq") == 0).select("id", "range_no", (F.sum("chars").over(w) - F.col("chars")).alias("at"), (F.sum("count").over(w) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy("id")).alias("chunk_total"))
+    named = spans.join(heads, ["id", "range_no"]).select("id", (F.col("before") + F.col("seq")).alias("chunk_index"), "chunk_total", (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"), "byte_start", "byte_end")
+    placed = named.repartitionByRange(shuffle_width(spark), "id", "byte_start").sortWithinPartitions("id", "byte_start")
+    return placed.mapInArrow(_emit(1 << 20), "id string, chunk_index long, chunk_total long, start long, end long, piece string")

@@ -11,11 +11,11 @@ SF = "/root/testdata/sf0.001"
 def test_runs(spark, name):
     df = q.QUERIES[name](spark, SF)
     rows = df.collect()
-    assert df.columns and len(rows) >= 0
+    assert df.columns and (rows or name == "p9_found")
     if name in q.SQL:
-        table = {"p4_found": "rag_documents", "p1_found": "rag_documents", "p9_found": "documents"}[name]
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+        for table in ("rag_documents", "documents"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
         rel = con.execute(q.SQL[name])
         names = [c[0] for c in rel.description]
         assert sorted(map(tuple, rows)) == sorted(tuple(r[names.index(c)] for c in df.columns) for r in rel.fetchall())
