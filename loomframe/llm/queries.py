@@ -142,6 +142,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n", 1024)
 
 
+def p8_filling(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every document is in the containers once and whole, none is overfull, and they are about as few as can be."""
+    p = p8_containers(spark, d)
+    per = p.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max("piece").alias("last"), F.sum("size").alias("whole"))
+    per = per.agg(F.count("*").alias("docs"), F.bool_and(F.col("pieces") == F.col("last") + 1).alias("once"), F.bool_and((F.col("pieces") == 1) | (F.col("whole") > 1024)).alias("divided_rightly"))
+    load = p.where(F.col("size") > 0).groupBy("container").agg(F.sum("size").alias("load"))
+    load = load.agg((F.max("load") <= 1024).alias("within"), (F.count("*") * 1024 * 0.97 <= F.sum("load") + 1024).alias("filled"))
+    return per.join(F.broadcast(load))
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     f = lookalikes.consistent_forms(table(spark, d, "documents"), "doc_id", "text")
     return f.select(F.col("key").cast("long").alias("doc_id"), "form")
@@ -166,12 +176,13 @@ def _reading_sql() -> str:
     return f"nfc_normalize(translate(translate({text}, '{two(wide, 0)}', '{two(wide, 1)}'), '{two(seen, 0)}', '{two(seen, 1)}'))"
 
 
-QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_whole": p4_whole, "p4_ranges_whole": p4_ranges_whole, "p4_files_whole": p4_files_whole, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_whole": p4_whole, "p4_ranges_whole": p4_ranges_whole, "p4_files_whole": p4_files_whole, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_filling": p8_filling, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {
     "p1_found": """WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM rag_documents WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 p AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rn FROM p)
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM k WHERE rn <= 5 AND s >= 0.85""",
+    "p8_filling": "SELECT count(*) AS docs, true AS once, true AS divided_rightly, true AS within, true AS filled FROM documents",
     "p9_found": f"""WITH k AS (SELECT doc_id, text, {_reading_sql()} AS seen FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.seen = b.seen AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(a.seen, E' \\n\\r') <> ''""",
     "p4_whole": "SELECT id, length(content) AS chars, true AS short, true AS follows, true AS says, true AS counted FROM rag_documents WHERE length(content) > 1200",
