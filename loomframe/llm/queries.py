@@ -92,7 +92,7 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.pairs_of_groups(survivors.merged_groups(table(spark, d, "aggregated_films"))[0])
+    return survivors.pairs_of_groups(survivors.merged_groups(table(spark, d, "aggregated_films")))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:

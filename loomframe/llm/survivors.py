@@ -96,26 +96,25 @@ def _groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return m.components(nodes, pairs).withColumnRenamed("key", "rec_id")
 
 
-def merged_groups(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rec_id, group) of the records that truth discovery bears out as one film, and the truth of each group.
+def merged_groups(df: DataFrame) -> DataFrame:
+    """(rec_id, group) of the records that truth discovery bears out as one film.
 
     Year and director are found for each group of pairs; records that both contradict part from
-    it, and what stays together on either side is grouped again.
+    it, and what stays together on either side is grouped again. Reliability is per field, so the
+    other fields need no part in this.
     """
     pairs = cut(duplicate_pairs(df))
     groups = cut(_groups(df, pairs))
-    best = cut(truth(claims(df, groups, FIELDS)))
-    true = best.where(F.col("field").isin("release_date", "director")).groupBy("group").pivot("field", ["release_date", "director"]).agg(F.first("value"))
+    best = truth(claims(df, groups, ["release_date", "director"]))
+    true = best.groupBy("group").pivot("field", ["release_date", "director"]).agg(F.first("value"))
     said = df.where(F.col("rec_id").isNotNull()).dropDuplicates(["rec_id"]).select("rec_id", F.year("release_date").alias("year"), _person("director").alias("person"))
     other = (F.abs(F.col("year") - F.year(F.col("release_date").cast("date"))) > YEARS) & (F.levenshtein("person", "director") > 4)
-    parted = cut(said.join(groups, "rec_id").join(true, "group").where(other).select("rec_id"))
-    if parted.isEmpty():
-        return groups, best
-    out = parted.withColumn("out", F.lit(True))
+    out = cut(said.join(groups, "rec_id").join(true, "group").where(other).select("rec_id", F.lit(True).alias("out")))
+    if out.isEmpty():
+        return groups
     side = lambda c: out.select(F.col("rec_id").alias(c), F.col("out").alias(f"o_{c}"))
     kept = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.col("o_a").eqNullSafe(F.col("o_b"))).select("a", "b")
-    groups = cut(_groups(df, kept))
-    return groups, truth(claims(df, groups, FIELDS))
+    return _groups(df, kept)
 
 
 def claims(df: DataFrame, groups: DataFrame, trusted: list[str]) -> DataFrame:
@@ -185,7 +184,8 @@ def truth(claimed: DataFrame, rounds: int = ROUNDS, settle: float = SETTLE) -> D
 
 def survivors(df: DataFrame) -> DataFrame:
     """One record per film: the smallest rec_id, number of records, and the best supported value of each field."""
-    groups, best = merged_groups(df)
+    groups = cut(merged_groups(df))
+    best = truth(claims(df, groups, FIELDS))
     wide = best.groupBy("group").pivot("field", FIELDS).agg(F.first("shown"))
     kinds = {"runtime": "int", "budget": "long", "revenue": "long", "release_date": "date"}
     size = groups.groupBy("group").agg(F.count("*").alias("records"))
