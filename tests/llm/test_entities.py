@@ -138,3 +138,14 @@ def test_reliability_decides(spark):
 def test_no_records(spark):
     df = spark.createDataFrame([], AGG)
     assert sv.duplicate_groups(df).count() == 0 and sv.survivors(df).count() == 0
+
+
+def test_truth_parts_a_chain(spark):
+    """A record without year and director joins a remake to the film; the truth of year and director parts the remake again."""
+    film = [agg(i, "Alpha Rising", 1990, tmdb=1) for i in (1, 2, 3)] + [agg(4, "Alpha Rising", None, None, tmdb=1, runtime=120, budget=7_000_000)]
+    remake = [agg(i, "Alpha Rising", 1999, "Liskel Zoludra", tmdb=2, runtime=120, budget=7_000_000) for i in (5, 6)]
+    df = spark.createDataFrame(film + remake, AGG)
+    assert {r["group"] for r in sv.duplicate_groups(df).collect()} == {1}
+    assert {r["rec_id"]: r["group"] for r in sv.merged_groups(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}
+    best = {r["rec_id"]: (r["records"], r["director"]) for r in sv.survivors(df).collect()}
+    assert best == {1: (4, "Orvel Branovan"), 5: (2, "Liskel Zoludra")}
